@@ -11,10 +11,16 @@ reach the Arrow kernels below.
 from __future__ import annotations
 
 import math
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
+
+# The kernels travel with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Label threshold in percent, heading threshold as a ratio.
 LABEL_THRESHOLD = 95.0
@@ -43,12 +49,12 @@ def ratcliff_ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratcliff_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

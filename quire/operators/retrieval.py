@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quire.functions import text as X, vectors as V
 from quire.operators.joins import SLAB, slab_join
@@ -174,8 +174,14 @@ def requirement_scores(
     return scored if min_score is None else scored.filter(F.col("semantic_score") >= min_score)
 
 
-def best_first(score: str) -> Window:
-    return Window.partitionBy("request_id").orderBy(F.desc(score), "document", "section_no", "part_no")
+def by_score(score: str) -> list[Column]:
+    """Best first, then document order. Scores are compared to nine digits: the last bits of a
+    distributed sum depend on the order of its parts, and equal texts must tie."""
+    return [F.round(score, 9).desc(), F.col("document"), F.col("section_no"), F.col("part_no")]
+
+
+def best_first(score: str) -> WindowSpec:
+    return Window.partitionBy("request_id").orderBy(*by_score(score))
 
 
 def retrieve(scored: DataFrame, k: int = CANDIDATES, score: str = "score") -> DataFrame:
@@ -212,23 +218,22 @@ def bm25(
     known = (
         document_frequencies(sections, section_text)
         .join(asked.select("term").distinct(), "term", "left_semi")
+        .withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = (
         asked.withColumn("salt", salt).join(known, ["term", "salt"])
         .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("asked"))
+        .agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("asked"))
     )
-    rows = (
-        pairs.join(sections.select(*SECTION_KEY, X.terms(section_text).alias("words")), SECTION_KEY)
-        .join(weights, "request_id", "left")
+    words = sections.select(*SECTION_KEY, X.terms(section_text).alias("words")).withColumn(
+        "damping", k1 * (1 - b + b * F.size("words") / mean)
     )
-    length = k1 * (1 - b + b * F.size("words") / mean)
+    rows = pairs.join(words, SECTION_KEY).join(weights, "request_id", "left")
 
     def gain(asked_term: Column) -> Column:
         tf = F.size(F.filter("words", lambda w: w == asked_term["term"]))
-        return asked_term["idf"] * tf * (k1 + 1) / (tf + length)
+        return asked_term["idf"] * tf * (k1 + 1) / (tf + F.col("damping"))
 
     score = F.aggregate(F.coalesce("asked", F.array()), F.lit(0.0), lambda total, t: total + gain(t))
     return rows.select(*pairs.columns, score.alias("relevance"))
@@ -257,7 +262,7 @@ def diversify(
     ranked: DataFrame, per_document: int = PER_DOCUMENT, k: int = TOP_SECTIONS, score: str = "final_score"
 ) -> DataFrame:
     """Best ``k`` sections per request with at most ``per_document`` of one document, ranked from 1."""
-    of_document = Window.partitionBy("request_id", "document").orderBy(F.desc(score), "section_no", "part_no")
+    of_document = Window.partitionBy("request_id", "document").orderBy(*by_score(score))
     few = ranked.withColumn("_n", F.row_number().over(of_document)).filter(F.col("_n") <= per_document).drop("_n")
     return few.withColumn("importance_rank", F.row_number().over(best_first(score))).filter(
         F.col("importance_rank") <= k
