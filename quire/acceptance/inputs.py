@@ -74,8 +74,8 @@ def page_trees(spark: SparkSession, folder: str) -> DataFrame:
             F.array(left, F.lit(0.0), left + 7.0, F.lit(0.0)).alias("bbox"),
         )
 
-    def block(line: Column) -> Column:
-        words = F.split(line["text"], " ", -1)
+    def block(found: Column) -> Column:
+        line, words = found["line"], found["words"]
         box = F.array(line["x_position"], line["y_position"], F.lit(500.0), line["y_bottom"])
         spans = F.transform(words, lambda w, i: span(w, i, F.size(words) - 1))
         return F.struct(
@@ -88,7 +88,8 @@ def page_trees(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(1).alias("type"), F.array(*[F.lit(0.0)] * 4).alias("bbox"),
         F.lit(None).cast(block_type["lines"].dataType).alias("lines"),
     )
-    text_blocks = F.transform(F.reverse("lines"), block)
+    split = F.transform("lines", lambda l: F.struct(l.alias("line"), F.split(l["text"], " ", -1).alias("words")))
+    text_blocks = F.transform(F.reverse(split), block)
     return text_pages(spark, folder).select(
         "doc", "page_number", "page_height",
         F.concat(F.array(image), text_blocks).cast(schemas.PAGE_TREE["blocks"].dataType).alias("blocks"),

@@ -22,12 +22,12 @@ def first_mode(values: Column) -> Column:
     return F.array_max(counted)["value"]
 
 
-def line_size(spans: Column) -> Column:
-    return F.coalesce(first_mode(F.transform(spans, lambda s: s["size"])), F.lit(0.0))
+def line_size(sizes: Column) -> Column:
+    return F.coalesce(first_mode(sizes), F.lit(0.0))
 
 
-def line_font(spans: Column) -> Column:
-    return F.coalesce(first_mode(F.transform(spans, lambda s: s["font"])), F.lit(NO_FONT))
+def line_font(fonts: Column) -> Column:
+    return F.coalesce(first_mode(fonts), F.lit(NO_FONT))
 
 
 def name_is_bold(font: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters Python treats as white space, as a string and as a regex class body
 # that Java and RE2 read alike.
@@ -110,7 +110,8 @@ def terms(text: Column) -> Column:
 
 
 def unigrams_and_bigrams(words: Column) -> Column:
-    """Words followed by the pairs of neighbouring words."""
+    """Words followed by the pairs of neighbouring words; ``words`` should be a plain column, as it
+    is read several times."""
     pairs = F.zip_with(
         words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
@@ -118,6 +119,26 @@ def unigrams_and_bigrams(words: Column) -> Column:
     return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
 
 
+def counted(rows: DataFrame, values: Column, keep: Sequence[str]) -> DataFrame:
+    """One row per distinct element of an array with its count as ``tf``; arrays without elements
+    give no row.
+
+    Sorted inside the row and cut into runs: no shuffle and no hash table over all elements. Each
+    step is a column the next one reads more than once, so that none is moved into a lambda.
+    """
+    last = F.size("_sorted") - 1
+    new = F.filter(
+        F.when(last >= 0, F.sequence(F.lit(0), last)),
+        lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)),
+    )
+    runs = F.transform("_starts", lambda at, k: F.struct(
+        F.get("_sorted", at).alias("term"),
+        (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - at).cast("long").alias("tf"),
+    ))
+    staged = rows.select(*keep, F.sort_array(values).alias("_sorted")).withColumn("_starts", new)
+    return staged.select(*keep, F.inline_outer(runs)).filter(F.col("term").isNotNull())
+
+
 # Widths of the two retrieval texts.
 REQUIREMENT_CHARS = 200
 RETRIEVAL_CHARS = 500

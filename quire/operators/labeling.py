@@ -39,7 +39,9 @@ def label_lines(
         condition=may_exceed("text", "truth_text", ratio) | (F.col("text") == F.col("truth_text")),
         how="left",
     )
-    scored = pairs.withColumn("score", indel_score(F.col("text"), F.col("truth_text")))
+    # Lines without a candidate send no text to the kernel.
+    text = F.when(F.col("truth_text").isNotNull(), F.col("text"))
+    scored = pairs.withColumn("score", indel_score(text, F.col("truth_text")))
     rank = F.struct("score", (-F.col("truth_pos")).alias("at"), F.col("truth_level").alias("level"))
     best = scored.groupBy("doc", "page_number", "slab", "band", "line_no").agg(
         F.any_value(F.struct(*columns)).alias("line"), F.max(F.when(F.col("score") > threshold, rank)).alias("best")

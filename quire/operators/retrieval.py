@@ -84,12 +84,9 @@ def build_queries(requests: DataFrame, stop_words: Sequence[str] = STOP_WORDS, l
 
 
 def _term_counts(items: DataFrame, key: Sequence[str], text: Column) -> DataFrame:
-    """Count of every one- and two-word term per item; combined inside the task that holds the text."""
-    return (
-        items.select(*key, F.explode(X.unigrams_and_bigrams(X.terms(text))).alias("term"))
-        .groupBy(*key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """Count of every one- and two-word term per item."""
+    words = items.select(*key, X.terms(text).alias("words"))
+    return X.counted(words, X.unigrams_and_bigrams(F.col("words")), key)
 
 
 def vocabulary(
@@ -108,14 +105,18 @@ def vocabulary(
 
 
 def term_weights(counts: DataFrame, terms: DataFrame, key: Sequence[str]) -> DataFrame:
-    """TF-IDF weights of length 1 per item.
+    """TF-IDF weights per item, not yet brought to length 1.
 
     The vocabulary has at most ``VOCABULARY`` rows, so it is sent to every task; joining on terms
     instead would put each common word into one task.
     """
-    weight = F.col("tf") * F.col("idf")
-    length = F.sqrt(F.sum(weight * weight).over(Window.partitionBy(*key)))
-    return counts.join(F.broadcast(terms), "term").select(*key, "term", (weight / length).alias("weight"))
+    return counts.join(F.broadcast(terms), "term").select(
+        *key, "term", (F.col("tf") * F.col("idf")).alias("weight")
+    )
+
+
+def _lengths(weights: DataFrame, key: Sequence[str]) -> DataFrame:
+    return weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
 
 
 def tfidf_scores(
@@ -132,8 +133,10 @@ def tfidf_scores(
     terms = vocabulary(counts, n_items, size)
     held = term_weights(counts, terms, SECTION_KEY)
     asked = term_weights(_term_counts(queries, ["request_id"], F.col(query)), terms, ["request_id"])
+    # Terms of the vocabulary that some request asks for: no more rows than the vocabulary.
+    relevant = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     wanted = asked.withColumnRenamed("weight", "asked").join(listed, "request_id")
-    common = _by_document_slab(held, wanted, sections).select(
+    common = _by_document_slab(relevant, wanted, sections).select(
         "request_id", *SECTION_KEY, (F.col("weight") * F.col("asked")).alias("product")
     )
     first = Window.partitionBy("document").orderBy("section_no", "part_no")
@@ -141,16 +144,22 @@ def tfidf_scores(
         sections.select(*SECTION_KEY).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= pad)
         .join(listed, "document").select("request_id", *SECTION_KEY, F.lit(0.0).alias("product"))
     )
-    return common.unionByName(padding).groupBy("request_id", *SECTION_KEY).agg(F.sum("product").alias("score"))
+    dots = common.unionByName(padding).groupBy("request_id", *SECTION_KEY).agg(F.sum("product").alias("dot"))
+    both = dots.join(_lengths(held, SECTION_KEY), SECTION_KEY, "left").join(
+        _lengths(asked, ["request_id"]).withColumnRenamed("length", "asked_length"), "request_id", "left"
+    )
+    cosine = F.try_divide("dot", F.col("length") * F.col("asked_length"))
+    return both.select("request_id", *SECTION_KEY, F.coalesce(cosine, F.lit(0.0)).alias("score"))
 
 
 def _by_document_slab(held: DataFrame, wanted: DataFrame, sections: DataFrame) -> DataFrame:
     """Section terms with the request terms of the same document; documents of many sections are
-    cut into slabs."""
+    cut into slabs. Both sides grow with the data and exploded rows defy size estimates, so the
+    join is a sort-merge join."""
     last = sections.groupBy("document").agg(F.floor(F.max("section_no") / SLAB).cast("int").alias("last"))
     copies = wanted.join(last, "document").withColumn("slab", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
     cut = held.withColumn("slab", F.floor(F.col("section_no") / SLAB).cast("int"))
-    return cut.join(copies, ["document", "slab", "term"])
+    return cut.hint("merge").join(copies, ["document", "slab", "term"])
 
 
 def vector_scores(queries: DataFrame, sections: DataFrame, listed: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -189,12 +198,14 @@ def retrieve(scored: DataFrame, k: int = CANDIDATES, score: str = "score") -> Da
     return scored.withColumn("rank", F.row_number().over(best_first(score))).filter(F.col("rank") <= k)
 
 
-def document_frequencies(sections: DataFrame, section_text: Column) -> DataFrame:
-    """Number of sections each word is in; counted inside the tasks before any shuffle."""
-    return (
-        sections.select(F.explode(F.array_distinct(X.terms(section_text))).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("df"))
-    )
+def word_counts(sections: DataFrame, section_text: Column) -> DataFrame:
+    """Words of each section with their count and the section's number of words."""
+    words = sections.select(*SECTION_KEY, X.terms(section_text).alias("words")).withColumn("length", F.size("words"))
+    return X.counted(words, F.col("words"), [*SECTION_KEY, "length"])
+
+
+#: Copies of a word's weight over which the requests that ask for it are spread.
+SALTS = 16
 
 
 def bm25(
@@ -203,40 +214,32 @@ def bm25(
 ) -> DataFrame:
     """BM25 of every (request, section) pair in ``pairs``; a pair without a common word gets 0.
 
-    The words of a request and their weights travel as one small array beside the section's
-    words, so scoring a pair is an expression on one row.
+    Words are met by section and word, so a word all sections share is as good a key as any other.
     """
+    counts = word_counts(sections, section_text)
     stats = sections.agg(
         F.struct(F.count("*").alias("n"), F.avg(F.size(X.terms(section_text))).alias("length")).alias("stats")
     ).scalar()
-    n, mean = stats["n"], stats["length"]
+    df, n = F.col("df"), stats["n"]
     asked = queries.select("request_id", F.explode(F.array_distinct(X.terms(F.col(query)))).alias("term"))
-    # A common word is in most requests: one row per word is copied to each of the salts the
-    # requests are spread over.
-    salts = 16
-    salt = F.pmod(F.hash("request_id"), F.lit(salts))
+    # A common word is in most requests: its weight is copied to each salt the requests are spread over.
     known = (
-        document_frequencies(sections, section_text)
+        counts.groupBy("term").agg(F.count("*").alias("df"))
         .join(asked.select("term").distinct(), "term", "left_semi")
-        .withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    weights = (
-        asked.withColumn("salt", salt).join(known, ["term", "salt"])
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("asked"))
+    salted = asked.withColumn("salt", F.pmod(F.hash("request_id"), F.lit(SALTS)))
+    weighted = salted.join(known, ["term", "salt"]).select("request_id", "term", "idf")
+    damping = k1 * (1 - b + b * F.col("length") / stats["length"])
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + damping)
+    hits = (
+        pairs.join(weighted, "request_id").hint("merge").join(counts, [*SECTION_KEY, "term"])
+        .select(*pairs.columns, gain.alias("gain"))
     )
-    words = sections.select(*SECTION_KEY, X.terms(section_text).alias("words")).withColumn(
-        "damping", k1 * (1 - b + b * F.size("words") / mean)
+    return hits.unionByName(pairs.withColumn("gain", F.lit(0.0))).groupBy(*pairs.columns).agg(
+        F.sum("gain").alias("relevance")
     )
-    rows = pairs.join(words, SECTION_KEY).join(weights, "request_id", "left")
-
-    def gain(asked_term: Column) -> Column:
-        tf = F.size(F.filter("words", lambda w: w == asked_term["term"]))
-        return asked_term["idf"] * tf * (k1 + 1) / (tf + F.col("damping"))
-
-    score = F.aggregate(F.coalesce("asked", F.array()), F.lit(0.0), lambda total, t: total + gain(t))
-    return rows.select(*pairs.columns, score.alias("relevance"))
 
 
 def rerank(

@@ -68,21 +68,33 @@ def _text_blocks(profile: Profile) -> Column:
 def _laid_out(profile: Profile) -> Column:
     """Array of the page's non-empty lines in reading order."""
 
-    def line(source: Column, at: Column) -> Column:
-        spans = F.coalesce(source["spans"], F.array().cast(schemas.T.ArrayType(schemas.SPAN)))
+    none = F.array().cast(schemas.T.ArrayType(schemas.SPAN))
+
+    def read(source: Column, at: Column) -> Column:
+        spans = F.coalesce(source["spans"], none)
         return F.struct(
             at.alias("line_no"),
             X.line_text(spans, controls=profile.strip_controls).alias("text"),
-            S.line_size(spans).alias("font_size"),
-            S.line_font(spans).alias("font_name"),
+            F.transform(spans, lambda s: s["size"]).alias("sizes"),
+            F.transform(spans, lambda s: s["font"]).alias("fonts"),
             S.is_bold(spans).alias("is_bold"),
-            source["bbox"][0].alias("x_position"),
-            source["bbox"][1].alias("y_position"),
-            source["bbox"][3].alias("y_bottom"),
+            source["bbox"].alias("bbox"),
+        )
+
+    def line(read: Column) -> Column:
+        return F.struct(
+            read["line_no"].alias("line_no"),
+            read["text"].alias("text"),
+            S.line_size(read["sizes"]).alias("font_size"),
+            S.line_font(read["fonts"]).alias("font_name"),
+            read["is_bold"].alias("is_bold"),
+            read["bbox"][0].alias("x_position"),
+            read["bbox"][1].alias("y_position"),
+            read["bbox"][3].alias("y_bottom"),
         )
 
     flat = F.flatten(F.transform(_text_blocks(profile), lambda b: b["lines"]))
-    return F.filter(F.transform(flat, line), lambda l: F.length(l["text"]) > 0)
+    return F.transform(F.filter(F.transform(flat, read), lambda l: F.length(l["text"]) > 0), line)
 
 
 def pages_from_trees(trees: DataFrame, profile: Profile = OUTLINE_PROFILE) -> DataFrame:
