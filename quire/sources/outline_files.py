@@ -6,28 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire import schemas
 from quire.functions import text as X
-from quire.sources.pages import BAD_RECORD
-
-T = schemas.T
-
-
-def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One object per file with the file's name; unreadable files keep their text in
-    ``_corrupt_record``."""
-    with_bad = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
-    return (
-        spark.read.schema(with_bad)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_RECORD)
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_name"))
-    )
-
+from quire.sources.json_text import BAD_RECORD, read_json_files
 
 def read_outlines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(outlines keyed by file stem, files that could not be read)."""
-    raw = _read_json(spark, path, schemas.OUTLINE_FILE)
+    raw = read_json_files(spark, path, schemas.OUTLINE_FILE)
     good = raw.filter(F.col(BAD_RECORD).isNull()).select(
         X.file_stem(F.col("file")).alias("doc"), *schemas.OUTLINE_FILE.fieldNames()
     )

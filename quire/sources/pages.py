@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire import schemas
 from quire.functions import spans as S, text as X
 from quire.profiles import OUTLINE_PROFILE, Profile
+from quire.sources.json_text import BAD_RECORD, parsed
 
 # Gap in line sizes that counts as blank, height of an unlaid-out page.
 BLANK_GAP = 1.5
 PAGE_HEIGHT = 792.0
 
-BAD_RECORD = "_corrupt_record"
-
 
 def list_corpus(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Name, size and time of the files matching ``pattern``; contents are not read."""
@@ -33,16 +32,8 @@ def list_corpus(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
 
 def read_page_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON-lines page trees as (good pages, quarantined records with their file)."""
-    schema = schemas.T.StructType(
-        [*schemas.PAGE_TREE.fields, schemas.T.StructField(BAD_RECORD, schemas.T.StringType())]
-    )
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_RECORD)
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_name"))
-    )
+    text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    raw = parsed(text.filter(F.length(F.trim("value")) > 0), schemas.PAGE_TREE)
     bad = F.col(BAD_RECORD).isNotNull() | F.col("doc").isNull() | F.col("page_number").isNull()
     good = raw.filter(~bad).select(*schemas.PAGE_TREE.fieldNames())
     return good, raw.filter(bad).select("file", F.col(BAD_RECORD).alias("record"))
