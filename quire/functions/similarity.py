@@ -17,7 +17,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 # The kernels travel with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,8 +27,20 @@ LABEL_THRESHOLD = 95.0
 HEADING_THRESHOLD = 0.85
 
 
+# Combined length beyond which the bit-parallel kernel beats the quadratic JVM test.
+LONG_PAIR = 2000
+
+
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word-parallel row per character."""
+    """Length of the longest common subsequence, one machine-word-parallel row per character
+    between the common ends."""
+    start, end = 0, 0
+    shorter = min(len(a), len(b))
+    while start < shorter and a[start] == b[start]:
+        start += 1
+    while end < shorter - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
@@ -37,7 +49,7 @@ def common_subsequence(a: str, b: str) -> int:
     for ch in b:
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return start + end + len(a) - row.bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -49,22 +61,35 @@ def ratcliff_ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
+def is_near(a: str, b: str, threshold: float) -> bool:
+    """Whether the Ratcliff ratio is above ``threshold``; the indel ratio, never smaller, is cheaper
+    and tried first."""
+    return indel_ratio(a, b) / 100 > threshold and ratcliff_ratio(a, b) > threshold
+
+
 @F.pandas_udf(DoubleType())
 def indel_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def ratcliff_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratcliff_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def ratcliff_near(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the Ratcliff ratio of two columns is above ``threshold``; false where one is null."""
+    @F.pandas_udf(BooleanType())
+    def near(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and is_near(x, y, threshold) for x, y in zip(left, right)], dtype="bool")
+
+    return near(a, b)
 
 
 def may_exceed(a: str, b: str, ratio: float) -> Column:
-    """Necessary condition, on the columns named, for a similarity above ``ratio`` (0 to 1)."""
-    if ratio >= 1:
-        return F.lit(False)
-    slack = f"cast(ceil({1 - ratio!r}D * (length({a}) + length({b}))) as int) + 1"
-    return F.expr(f"levenshtein({a}, {b}, {slack}) >= 0")
+    """Necessary condition, on the columns named, for a similarity above ``ratio`` (0 to 1). Equal
+    texts and lengths are looked at first; long pairs are left to the kernel."""
+    total = f"(length({a}) + length({b}))"
+    slack = f"cast(ceil({1 - ratio!r}D * {total}) as int) + 1"
+    return F.expr(
+        f"{a} = {b} or (abs(length({a}) - length({b})) <= {slack} "
+        f"and ({total} > {LONG_PAIR} or levenshtein({a}, {b}, {slack}) >= 0))"
+    )
 
 
 def length_band(text: Column, ratio: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as X
 from quire.functions.similarity import (
-    HEADING_THRESHOLD, length_band, may_exceed, neighbouring_bands, ratcliff_score,
+    HEADING_THRESHOLD, length_band, may_exceed, neighbouring_bands, ratcliff_near,
 )
 from quire.operators.joins import slab_join
 
@@ -59,12 +59,10 @@ def match_headings(
         keys,
         "output_pos",
         also=["band"],
-        condition=may_exceed("truth_text", "output_text", threshold) | (F.col("truth_text") == F.col("output_text")),
-    )
-    score = ratcliff_score(F.col("truth_text"), F.col("output_text"))
-    return pairs.withColumn("score", score).filter(F.col("score") > threshold).select(
-        *keys, "truth_text", "output_text"
+        condition=may_exceed("truth_text", "output_text", threshold),
     )
+    near = ratcliff_near(F.col("truth_text"), F.col("output_text"), threshold)
+    return pairs.withColumn("near", near).filter("near").select(*keys, "truth_text", "output_text")
 
 
 def _sided(truth_keys: DataFrame, output_keys: DataFrame) -> DataFrame:
@@ -102,10 +100,8 @@ def title_matches(
     pairs = truth.select("doc", text.alias("truth_title")).join(output.select("doc", text.alias("output_title")), "doc")
     if exact:
         return pairs.select("doc", (F.col("truth_title") == F.col("output_title")).alias("title_correct"))
-    same = F.col("truth_title") == F.col("output_title")
-    near = same | may_exceed("truth_title", "output_title", threshold)
-    score = ratcliff_score(F.when(near, F.col("truth_title")), F.col("output_title"))
-    return pairs.select("doc", F.coalesce(score > threshold, F.lit(False)).alias("title_correct"))
+    near = F.when(may_exceed("truth_title", "output_title", threshold), F.col("truth_title"))
+    return pairs.select("doc", ratcliff_near(near, F.col("output_title"), threshold).alias("title_correct"))
 
 
 def eval_by_document(

@@ -36,7 +36,7 @@ def label_lines(
         ["doc", "page_number"],
         "line_no",
         also=["band"],
-        condition=may_exceed("text", "truth_text", ratio) | (F.col("text") == F.col("truth_text")),
+        condition=may_exceed("text", "truth_text", ratio),
         how="left",
     )
     # Lines without a candidate send no text to the kernel.

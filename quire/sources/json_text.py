@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BAD_RECORD = "_corrupt_record"
 
@@ -18,7 +18,12 @@ def parsed(text: DataFrame, schema: T.StructType) -> DataFrame:
     return text.withColumn("_json", F.from_json("value", with_bad, options)).select("file", "_json.*")
 
 
+def source_file() -> Column:
+    """Name of the file a row comes from; Spark gives it percent-encoded."""
+    return F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object per file, with the file's name."""
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    text = spark.read.text(path, wholetext=True).select("value", source_file().alias("file"))
     return parsed(text, schema)

@@ -8,6 +8,7 @@ from quire import schemas
 from quire.functions import text as X
 from quire.sources.json_text import BAD_RECORD, read_json_files
 
+
 def read_outlines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(outlines keyed by file stem, files that could not be read)."""
     raw = read_json_files(spark, path, schemas.OUTLINE_FILE)

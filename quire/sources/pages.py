@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire import schemas
 from quire.functions import spans as S, text as X
 from quire.profiles import OUTLINE_PROFILE, Profile
-from quire.sources.json_text import BAD_RECORD, parsed
+from quire.sources.json_text import BAD_RECORD, parsed, source_file
 
 # Gap in line sizes that counts as blank, height of an unlaid-out page.
 BLANK_GAP = 1.5
@@ -32,7 +32,7 @@ def list_corpus(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
 
 def read_page_trees(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON-lines page trees as (good pages, quarantined records with their file)."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    text = spark.read.text(path).select("value", source_file().alias("file"))
     raw = parsed(text.filter(F.length(F.trim("value")) > 0), schemas.PAGE_TREE)
     bad = F.col(BAD_RECORD).isNotNull() | F.col("doc").isNull() | F.col("page_number").isNull()
     good = raw.filter(~bad).select(*schemas.PAGE_TREE.fieldNames())

@@ -11,13 +11,13 @@ from quire.sources import datasets, outline_files, records, requests
 
 
 def test_outline_dialects(spark, tmp_path):
-    (tmp_path / "new.v1.json").write_text(json.dumps({"title": "Tête", "outline": [{"level": "H1", "text": "α", "page": 0}]}, ensure_ascii=False))
+    (tmp_path / "new a+b%20 (1).v1.json").write_text(json.dumps({"title": "Tête", "outline": [{"level": "H1", "text": "α", "page": 0}]}, ensure_ascii=False))
     (tmp_path / "old.json").write_text(json.dumps({"title": "O", "headings": [{"text": "x", "level": "H2", "page_number": 3}]}, indent=4))
     (tmp_path / "bad.json").write_text('{"title": ')
     good, bad = outline_files.read_outlines(spark, str(tmp_path))
     found = {r.doc: r for r in good.collect()}
-    assert set(found) == {"new.v1", "old"}
-    assert found["new.v1"].title == "Tête" and found["new.v1"].outline[0].text == "α" and found["new.v1"].headings is None
+    assert set(found) == {"new a+b%20 (1).v1", "old"}
+    assert found["new a+b%20 (1).v1"].title == "Tête" and found["new a+b%20 (1).v1"].outline[0].text == "α" and found["new a+b%20 (1).v1"].headings is None
     assert found["old"].headings[0].page_number == 3
     assert [r.file for r in bad.collect()] == ["bad.json"]
 

@@ -117,7 +117,9 @@ def test_kernels(a, b):
     assert M.common_subsequence(a, b) == sequential.lcs(a, b)
     expected = 100.0 if a == b else 100.0 * 2 * sequential.lcs(a, b) / (len(a) + len(b))
     assert M.indel_ratio(a, b) == expected
-    assert M.ratcliff_ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+    ratio = SequenceMatcher(None, a, b).ratio()
+    assert M.ratcliff_ratio(a, b) == ratio
+    assert M.is_near(a, b, 0.85) == (ratio > 0.85) and M.is_near(a, b, 0.5) == (ratio > 0.5)
 
 
 def test_bounds_never_lose_a_pair(spark):
@@ -130,6 +132,7 @@ def test_bounds_never_lose_a_pair(spark):
             spot = rng.randint(0, len(b))
             b[spot:spot + rng.randint(0, 1)] = rng.choices("abcde", k=rng.randint(0, 1))
         pairs.append((a, "".join(b)))
+    pairs += [(a * 200, b * 200) for a, b in pairs[:40]]
     df = spark.createDataFrame(pairs, "a string, b string")
     for ratio, score in ((0.95, lambda a, b: M.indel_ratio(a, b) / 100), (0.85, M.ratcliff_ratio)):
         near = F.array_contains(M.neighbouring_bands(F.col("b"), ratio), M.length_band(F.col("a"), ratio))
