@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-PAGES_PER_BLOCK = 64
+#: Lines of this many pages are worked on together: some ten megabytes of text. Even a document of
+#: a hundred billion lines then has only a few million block rows.
+PAGES_PER_BLOCK = 1024
 
 
 def by_block(lines: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as X
 from quire.operators.blocks import block_order, by_block, carried, document_order, page_order
+from quire.operators.joins import slab_join
 from quire.profiles import BODY, TITLE
+from quire.session import settled
 
 #: Pages whose entries share one outline row; only longer documents get a second row.
 PAGES_PER_PART = 4096
+PARTS_PER_SLAB = 64
 # Fixed value: title of a document that shows none.
 UNTITLED = "Untitled Document"
 
@@ -122,12 +125,16 @@ def outlines(flagged: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFr
             _largest_line().alias("largest"),
         )
     )
-    document = Window.partitionBy("doc")
-    first, largest = F.min("first").over(document), F.max("largest").over(document)
-    return parts.select(
+    # Outlines are small beside the lines they come from. Settled, they give the titles as well,
+    # and no task has to hold all rows of a document.
+    parts = settled(parts)
+    titles = parts.groupBy("doc").agg(
+        F.coalesce(F.min("first")["text"], F.max("largest")["text"], F.lit(UNTITLED)).alias("title")
+    )
+    return slab_join(parts, titles, ["doc"], "part", slab=PARTS_PER_SLAB).select(
         "doc",
         "part",
-        F.coalesce(first["text"], largest["text"], F.lit(UNTITLED)).alias("title"),
+        "title",
         F.transform(
             "entries",
             lambda e: F.struct(e["level"].alias("level"), e["text"].alias("text"), e["page_number"].alias("page")),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quire.functions import text as X, vectors as V
 from quire.operators.joins import SLAB, slab_join
+from quire.session import settled
 from quire.sources.requests import manifest
 
 # Candidates kept for reranking, weights of the two scores, sections per document and in all.
@@ -304,4 +305,6 @@ def rank_sections(
     queries = build_queries(requests)
     text = X.retrieval_text(F.col("section_title"), F.col("content"), chars)
     scored = tfidf_scores(queries, sections, manifest(requests), text)
-    return diversify(blend(rerank(retrieve(scored), queries, sections, scorer, chars)))
+    # A few rows per request that took the whole corpus to find, and that the reranker reads twice.
+    candidates = settled(retrieve(scored))
+    return diversify(blend(rerank(candidates, queries, sections, scorer, chars)))
