@@ -211,7 +211,7 @@ def request_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieval_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The two section texts with the reference widths, which are part of their definition."""
+    """The two section texts at their default widths, which are part of their definition."""
     title, content = F.col("section_title"), F.col("content")
     return I.found_sections(spark, folder).select(
         "document", "section_no",
