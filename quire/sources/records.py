@@ -57,7 +57,8 @@ def synth_records(ids: DataFrame, base_date: str, id_col: str = "id", seed: int
         (draw(key, "hour", HOURS[1] - HOURS[0] + 1) + HOURS[0]).alias("hour"),
         _pick(key, "minute", MINUTES).alias("minute"),
     )
-    moment = F.timestamp_seconds(F.unix_timestamp(today.cast("timestamp")) + F.col("hour") * 3600 + F.col("minute") * 60)
+    # Only the time of day is shown; the day is any without a clock change.
+    moment = F.make_timestamp(F.lit(2000), F.lit(1), F.lit(3), "hour", "minute", F.lit(0))
     return drawn.select(
         "id",
         F.col("venue.f0").alias("venue_name"),
