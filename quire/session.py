@@ -1,8 +1,8 @@
-"""Session settings and lineage cuts shared by jobs, tests and the benchmark."""
+"""Session settings, stage folders and lineage cuts shared by jobs, tests and the benchmark."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +26,28 @@ def local_session(cores: str | int = "*", name: str = "quire", **conf: str) -> S
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application's stages, below the one that ``spark.checkpoint.dir`` names.
+    Where that is unset, stages go below the warehouse, which all executors share as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/quire-stages/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lost executors cost no
+    recomputation of what lies before it, what reads it twice computes it once, readers take only
+    the columns they need, and Spark knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes the stages of this application; call it once their readers have run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder the session names, so lost executors cost no recomputation
-    of what lies before and plans that read it twice compute it once."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """``df`` as a stage of its own: see ``staged``."""
+    return staged(df, "settled")
