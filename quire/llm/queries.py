@@ -127,7 +127,7 @@ ORACLES = {
     "op2_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
     FROM documents
 ), keyed AS (
     SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -140,8 +140,8 @@ WITH lines AS (
     SELECT k.*, r.keeper IS NOT NULL AND r.keeper <> k.doc_id AS gone
     FROM keyed k LEFT JOIN repeated r USING (line_key)
 )
-SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """,
     "op5_exact_dedup": r"""
