@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 SEGMENT = 1 << 20
 
 
-def filter_bits(bytes_of_keys: int, least: int = 1 << 20, most: int = 1 << 30) -> int:
-    """A power of two of about two bits for each byte of text: some ten bits for each key of a few
-    dozen bytes. ``most`` bounds what is broadcast (128 MB); beyond it a filter fills up and passes
-    more, which costs shuffling and changes no result."""
-    return int(min(max(least, 1 << max(0, int(bytes_of_keys) * 2 - 1).bit_length()), most))
+def filter_bits(bytes_of_keys: int, least: int = 1 << 20, most: int = 1 << 28) -> int:
+    """A power of two of about one bit for every eight bytes of text: some ten bits and more for
+    each key of a hundred bytes. ``most`` bounds what is broadcast (32 MB); beyond it a filter fills
+    up and passes more, which costs shuffling and changes no result."""
+    return int(min(max(least, 1 << max(0, int(bytes_of_keys) // 8 - 1).bit_length()), most))
 
 
 def positions(digests: list[bytes], bits: int) -> np.ndarray:

@@ -29,7 +29,7 @@ def line_keys(text: str, shortest: int) -> list[bytes | None]:
 
 def drop_repeated_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 20, documents: int = 3,
-    most_bits: int = 1 << 30,
+    most_bits: int = 1 << 28,
 ) -> DataFrame:
     """``docs`` without the lines that at least ``documents`` documents hold, except in the document
     with the largest id among them; ``text`` is what stays, ``n_lines`` the number of lines before
