@@ -9,7 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.batches import known, mapped, shown, texts_of
+from quire.llm.batches import known, mapped, shared, shown, texts_of
+from quire.llm.bloom import holds, id_filter, id_positions
 from quire.session import staged
 
 #: What doesn't count in a text: space, and tab to carriage return.
@@ -176,16 +177,18 @@ def exact_duplicates(
 
 def _same_bytes(docs: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The digests of ``met`` whose groups' first rows have the same bytes without blanks."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    firsts = met.select("digest", F.explode(F.array("best_new.id", "best_old.id")).alias("first"))
+    bits = min(1 << 28, max(1 << 20, 1 << (32 * met.count()).bit_length()))
+    held = shared(docs.sparkSession, id_filter(firsts.select("first"), bits))
+
+    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(holds(held.value, id_positions(batch.column("first").to_numpy(), bits))))
         bare = [value.encode().translate(None, BLANK) for value in texts_of(batch, "text")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("digest"), pa.array(bare, pa.binary())], names=["digest", "bare"]
-        )
+        return pa.RecordBatch.from_arrays([batch.column("first"), pa.array(bare, pa.binary())], names=["first", "bare"])
 
-    firsts = met.select("digest", F.explode(F.array("best_new.id", "best_old.id")).alias("first"))
-    texts = docs.select(known(doc_id).alias("first"), F.col(text).alias("text"))
-    bare = mapped(texts.join(firsts, "first").select("digest", "text"), run, "digest binary, bare binary")
-    own = bare.where(F.sha2("bare", 256) == F.lower(F.hex("digest")))  # an id may have several texts
+    # A filter of the ids, at most 32 MB, lets only these rows' texts be shuffled.
+    texts = mapped(docs.select(known(doc_id).alias("first"), F.col(text).alias("text")), wanted, "first long, bare binary")
+    own = texts.join(firsts, "first").where(F.sha2("bare", 256) == F.lower(F.hex("digest")))  # an id may have several texts
     return own.groupBy("digest").agg(F.min("bare").alias("least"), F.max("bare").alias("most")).where(
         F.col("least") == F.col("most")
     ).select("digest")
