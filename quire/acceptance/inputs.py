@@ -168,7 +168,7 @@ def vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     rows = table(spark, folder, "embeddings")
     found = rows.select(
         F.col("label").cast("string").alias("document"), F.col("vec_id").cast("int").alias("section_no"),
-        F.lit(0).alias("part_no"), "embedding",
+        "embedding",
     )
     means = rows.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(
         F.avg(F.col("x").cast("double")).alias("x")

@@ -55,7 +55,10 @@ DIGITS = rf"regexp_matches(text, '^[\p{{Nd}}{X.OTHER_DIGIT_CLASS}]+$')"
 
 
 def _pattern(profile: Profile) -> str:
-    return "(?i)" + "|".join(f"({p})" for p in profile.reject_patterns)
+    """The patterns with blanks and digits of any script, which RE2 takes for ASCII alone."""
+    blank = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    written = [p.replace(r"\s", blank).replace(r"\d", r"\p{Nd}") for p in profile.reject_patterns]
+    return "(?i)" + "|".join(f"({p})" for p in written)
 
 
 DEMOTED = SCORED + f""",
@@ -122,7 +125,7 @@ cut AS (
   SELECT doc, section_no, min(n) AS start FROM numbered GROUP BY doc, section_no
 ),
 sections AS (
-  SELECT doc AS document, CAST(section_no AS INTEGER) AS section_no, 0 AS part_no, arg_min(text, n) AS section_title,
+  SELECT doc AS document, CAST(section_no AS INTEGER) AS section_no, arg_min(text, n) AS section_title,
          arg_min(page_number, n) AS page_number,
          {strip("string_agg(text, ' ' ORDER BY n) FILTER (WHERE n > start)")} AS content
   FROM numbered JOIN cut USING (doc, section_no) GROUP BY doc, section_no
@@ -218,7 +221,7 @@ corpus AS (SELECT count(*)::DOUBLE AS n FROM sections),
 vocabulary AS (
   SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
     SELECT term, count(*) AS df, sum(tf) AS total FROM held GROUP BY term
-  ), corpus WHERE df >= 2 AND df <= 0.95::DOUBLE * n ORDER BY total DESC, term LIMIT 30000
+  ), corpus
 ),
 held_w AS (
   SELECT {key}, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {key})) AS w FROM held JOIN vocabulary USING (term)
@@ -420,11 +423,11 @@ WHERE NOT (level <> 'Body' AND coalesce(lower(text) = text_before AND page_numbe
     "document_titles": f"WITH RECURSIVE {OUTLINES} SELECT doc, title FROM titles",
     "outline_headings": f"WITH RECURSIVE {CLAMPED} SELECT doc, page_number, line_no, level, text FROM heads",
     "outlines": f"""WITH RECURSIVE {OUTLINES}
-SELECT doc, 0 AS part, title, CAST(count(level) AS INTEGER) AS n,
+SELECT doc, title, CAST(count(level) AS INTEGER) AS n,
   coalesce(string_agg(level || '|' || page_number || '|' || text, chr(10) ORDER BY n), '') AS entries
 FROM titles LEFT JOIN heads USING (doc) GROUP BY doc, title""",
     "outline_objects": f"""WITH RECURSIVE {OUTLINES}
-SELECT doc, 0 AS part, CAST(to_json({{'title': title, 'outline':
+SELECT doc, CAST(to_json({{'title': title, 'outline':
   coalesce(list({{'level': level, 'text': text, 'page': page_number}} ORDER BY n) FILTER (WHERE level IS NOT NULL), [])}}) AS VARCHAR) AS json
 FROM titles LEFT JOIN heads USING (doc) GROUP BY doc, title""",
     "sections": f"WITH {SECTIONS} SELECT * FROM sections",
@@ -501,7 +504,7 @@ SELECT * FROM (
     "tfidf_rank": f"""WITH {_tfidf(_WHOLE, "query")}
 SELECT * FROM (SELECT request_id, document, section_no, {_best("score")} AS rank, round(score, 6) AS score FROM scores) WHERE rank <= 30""",
     "requirement_scores": f"""WITH {_tfidf("section_title || '. ' || content", "requirements")}
-SELECT request_id, document, section_no, round(score, 6) AS semantic_score FROM scores WHERE score > 0""",
+SELECT request_id, document, section_no, round(score, 6) AS semantic_score FROM scores""",
     "bm25_rank": f"""WITH {SECTIONS}, {QUERIES},
 pairs AS (SELECT request_id, document, section_no FROM listed JOIN sections USING (document)),
 {_bm25("pairs")}

@@ -111,7 +111,7 @@ def outline_headings(spark: SparkSession, folder: str) -> DataFrame:
 def outlines(spark: SparkSession, folder: str) -> DataFrame:
     shown = F.transform("outline", lambda e: F.concat_ws("|", e["level"], e["page"].cast("string"), e["text"]))
     return I.found_outlines(spark, folder).select(
-        "doc", "part", "title", F.size("outline").alias("n"), F.array_join(shown, "\n").alias("entries")
+        "doc", "title", F.size("outline").alias("n"), F.array_join(shown, "\n").alias("entries")
     )
 
 
@@ -252,7 +252,7 @@ def tfidf_rank(spark: SparkSession, folder: str) -> DataFrame:
 def requirement_scores(spark: SparkSession, folder: str) -> DataFrame:
     asked, queries, found = _ranking(spark, folder)
     scored = retrieval.requirement_scores(queries, found, request_files.manifest(asked), chars=None)
-    return scored.filter(F.col("semantic_score") > 0).select(*RANKED, rounded("semantic_score").alias("semantic_score"))
+    return scored.select(*RANKED, rounded("semantic_score").alias("semantic_score"))
 
 
 def bm25_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,13 +265,13 @@ def bm25_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def blend_rank(spark: SparkSession, folder: str) -> DataFrame:
     asked, _, found = _ranking(spark, folder)
-    chosen = retrieval.rank_sections(asked, found, chars=None)
+    chosen = retrieval.rank_sections(asked, found, chars=None, store=settled)
     return chosen.select(*RANKED, "importance_rank", rounded("final_score").alias("final_score"))
 
 
 def ranked_results(spark: SparkSession, folder: str) -> DataFrame:
     asked, _, found = _ranking(spark, folder)
-    chosen = retrieval.rank_sections(asked, found, chars=None)
+    chosen = retrieval.rank_sections(asked, found, chars=None, store=settled)
     moment = F.lit(f"{BASE_DATE} 10:15:00").cast("timestamp")
     results = retrieval.assemble_results(chosen, asked, found, moment)
     line = F.transform("extracted_sections", lambda s: F.concat_ws(

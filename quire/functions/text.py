@@ -175,8 +175,9 @@ def requirement_query(keywords: Column) -> Column:
 
 
 def any_pattern(patterns: Sequence[str]) -> str:
-    """One case-blind alternation out of several patterns."""
-    return "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
+    """One case-blind alternation out of several patterns, blanks and digits of any script."""
+    written = [p.replace(r"\s", f"[{SPACE_CLASS}]").replace(r"\d", r"\p{Nd}") for p in patterns]
+    return "(?iu)" + "|".join(f"(?:{p})" for p in written)
 
 
 # Date and time formats of the record generator and the ranked result.

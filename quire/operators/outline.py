@@ -6,13 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as X
 from quire.operators.blocks import block_order, by_block, carried, document_order, page_order
-from quire.operators.joins import slab_join
 from quire.profiles import BODY, TITLE
-from quire.session import settled
 
-#: Pages whose entries share one outline row; only longer documents get a second row.
-PAGES_PER_PART = 4096
-PARTS_PER_SLAB = 64
 # Fixed value: title of a document that shows none.
 UNTITLED = "Untitled Document"
 
@@ -108,33 +103,18 @@ def outline_entries(flagged: DataFrame) -> DataFrame:
     )
 
 
-def outlines(flagged: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Title and ordered headings per document.
-
-    ``part`` is 0 but for documents of more than ``pages_per_part`` pages, whose headings go on in
-    further rows, so no row grows without bound and none is lost.
-    """
+def outlines(flagged: DataFrame) -> DataFrame:
+    """Title and ordered headings per document, one row each."""
     entry = F.struct("page_number", "line_no", "level", "text")
     listed = is_heading() & ~F.col("is_repeat")
-    parts = (
-        flagged.withColumn("part", F.floor((F.col("page_number") - 1) / pages_per_part).cast("int"))
-        .groupBy("doc", "part")
-        .agg(
-            F.array_sort(F.collect_list(F.when(listed, entry))).alias("entries"),
-            _first_title().alias("first"),
-            _largest_line().alias("largest"),
-        )
-    )
-    # Outlines are small beside the lines they come from. Settled, they give the titles as well,
-    # and no task has to hold all rows of a document.
-    parts = settled(parts)
-    titles = parts.groupBy("doc").agg(
-        F.coalesce(F.min("first")["text"], F.max("largest")["text"], F.lit(UNTITLED)).alias("title")
+    found = flagged.groupBy("doc").agg(
+        F.array_sort(F.collect_list(F.when(listed, entry))).alias("entries"),
+        _first_title().alias("first"),
+        _largest_line().alias("largest"),
     )
-    return slab_join(parts, titles, ["doc"], "part", slab=PARTS_PER_SLAB).select(
+    return found.select(
         "doc",
-        "part",
-        "title",
+        F.coalesce("first.text", "largest.text", F.lit(UNTITLED)).alias("title"),
         F.transform(
             "entries",
             lambda e: F.struct(e["level"].alias("level"), e["text"].alias("text"), e["page_number"].alias("page")),

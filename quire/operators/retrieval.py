@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quire.functions import text as X, vectors as V
 from quire.operators.joins import SLAB, slab_join
-from quire.session import settled
 from quire.sources.requests import manifest
 
 # Candidates kept for reranking, weights of the two scores, sections per document and in all.
@@ -22,8 +21,7 @@ RETRIEVAL_WEIGHT = 0.2
 PER_DOCUMENT = 2
 TOP_SECTIONS = 5
 
-# Vocabulary bounds of the TF-IDF weights.
-VOCABULARY = 30000
+# Vocabulary bounds of the classifier's text features; ranking has none.
 MIN_DOCUMENTS = 2
 MAX_SHARE = 0.95
 
@@ -31,7 +29,7 @@ MAX_SHARE = 0.95
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-SECTION_KEY = ["document", "section_no", "part_no"]
+SECTION_KEY = ["document", "section_no"]
 
 # English function words left out of keywords.
 STOP_WORDS = (
@@ -91,7 +89,7 @@ def _term_counts(items: DataFrame, key: Sequence[str], text: Column) -> DataFram
 
 
 def vocabulary(
-    counts: DataFrame, n_items: Column, size: int = VOCABULARY, min_items: int = MIN_DOCUMENTS,
+    counts: DataFrame, n_items: Column, size: int, min_items: int = MIN_DOCUMENTS,
     max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """The ``size`` most frequent terms found in enough but not too many items, with smoothed idf."""
@@ -105,47 +103,58 @@ def vocabulary(
     )
 
 
-def term_weights(counts: DataFrame, terms: DataFrame, key: Sequence[str]) -> DataFrame:
-    """TF-IDF weights per item, not yet brought to length 1.
+#: Copies of a term's weight over which the items that have it are spread.
+SALTS = 16
 
-    The vocabulary has at most ``VOCABULARY`` rows, so it is sent to every task; joining on terms
-    instead would put each common word into one task.
-    """
-    return counts.join(F.broadcast(terms), "term").select(
-        *key, "term", (F.col("tf") * F.col("idf")).alias("weight")
+
+def _salted(counts: DataFrame, key: Sequence[str]) -> DataFrame:
+    return counts.withColumn("salt", F.pmod(F.hash(*key), F.lit(SALTS)))
+
+
+def inverse_frequencies(counts: DataFrame, n_items: Column) -> DataFrame:
+    """Smoothed idf of every term of salted ``counts``, one row for each salt that has the term: a
+    term that all items share is met in as many tasks as there are salts."""
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("salt").alias("salts")).select(
+        "term", (F.log((1 + n_items) / (1 + F.col("df"))) + 1).alias("idf"), F.explode("salts").alias("salt")
     )
 
 
+def term_weights(counts: DataFrame, idf: DataFrame, key: Sequence[str]) -> DataFrame:
+    """TF-IDF weights per item, not yet brought to length 1, of salted ``counts``."""
+    return counts.join(idf, ["term", "salt"]).select(*key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
 def _lengths(weights: DataFrame, key: Sequence[str]) -> DataFrame:
     return weights.groupBy(*key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
 
 
 def tfidf_scores(
     queries: DataFrame, sections: DataFrame, listed: DataFrame, section_text: Column, query: str = "query",
-    size: int = VOCABULARY, pad: int = CANDIDATES,
 ) -> DataFrame:
-    """Cosine of request and section weights for the sections of the documents each request lists.
+    """Cosine of request and section weights for every section of the documents each request lists;
+    0 for those without a common term.
 
-    Sections without a common term score 0. Of those only the first ``pad`` of each document are
-    listed: ties are broken by document order, so the best ``pad`` sections are always among them.
+    Every term of the sections counts, however rare or common; idf comes from all sections, weights
+    are only worked out for those of listed documents.
     """
     n_items = sections.agg(F.count("*")).scalar()
-    counts = _term_counts(sections, SECTION_KEY, section_text)
-    terms = vocabulary(counts, n_items, size)
-    held = term_weights(counts, terms, SECTION_KEY)
-    asked = term_weights(_term_counts(queries, ["request_id"], F.col(query)), terms, ["request_id"])
-    # Terms of the vocabulary that some request asks for: no more rows than the vocabulary.
-    relevant = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    counts = _salted(_term_counts(sections, SECTION_KEY, section_text), SECTION_KEY)
+    idf = inverse_frequencies(counts, n_items)
+    held = term_weights(counts.join(listed.select("document").distinct(), "document", "left_semi"), idf, SECTION_KEY)
+    words = _salted(_term_counts(queries, ["request_id"], F.col(query)), ["request_id"])
+    # A query word's idf, copied to the salts of the requests that have it.
+    known = words.select("term", "salt").distinct().join(idf.select("term", "idf").distinct(), "term")
+    asked = term_weights(words, known, ["request_id"])
+
+    spread = _spread(sections, listed)
     wanted = asked.withColumnRenamed("weight", "asked").join(listed, "request_id")
-    common = _by_document_slab(relevant, wanted, sections).select(
-        "request_id", *SECTION_KEY, (F.col("weight") * F.col("asked")).alias("product")
-    )
-    first = Window.partitionBy("document").orderBy("section_no", "part_no")
-    padding = (
-        sections.select(*SECTION_KEY).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= pad)
-        .join(listed, "document").select("request_id", *SECTION_KEY, F.lit(0.0).alias("product"))
+    common = _split_sections(held, spread).join(_split_requests(wanted, spread), ["document", "slab", "share", "term"])
+    products = common.select("request_id", *SECTION_KEY, (F.col("weight") * F.col("asked")).alias("product"))
+    pairs = _split_sections(sections.select(*SECTION_KEY), spread).join(
+        _split_requests(listed, spread), ["document", "slab", "share"]
     )
-    dots = common.unionByName(padding).groupBy("request_id", *SECTION_KEY).agg(F.sum("product").alias("dot"))
+    zeros = pairs.select("request_id", *SECTION_KEY, F.lit(0.0).alias("product"))
+    dots = products.unionByName(zeros).groupBy("request_id", *SECTION_KEY).agg(F.sum("product").alias("dot"))
     both = dots.join(_lengths(held, SECTION_KEY), SECTION_KEY, "left").join(
         _lengths(asked, ["request_id"]).withColumnRenamed("length", "asked_length"), "request_id", "left"
     )
@@ -153,14 +162,26 @@ def tfidf_scores(
     return both.select("request_id", *SECTION_KEY, F.coalesce(cosine, F.lit(0.0)).alias("score"))
 
 
-def _by_document_slab(held: DataFrame, wanted: DataFrame, sections: DataFrame) -> DataFrame:
-    """Section terms with the request terms of the same document; documents of many sections are
-    cut into slabs. Both sides grow with the data and exploded rows defy size estimates, so the
-    join is a sort-merge join."""
-    last = sections.groupBy("document").agg(F.floor(F.max("section_no") / SLAB).cast("int").alias("last"))
-    copies = wanted.join(last, "document").withColumn("slab", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    cut = held.withColumn("slab", F.floor(F.col("section_no") / SLAB).cast("int"))
-    return cut.hint("merge").join(copies, ["document", "slab", "term"])
+def _spread(sections: DataFrame, listed: DataFrame) -> DataFrame:
+    """How far the rows of a document are spread: slabs of its sections, shares of the requests that
+    list it. Both are 1 for all but huge and popular documents."""
+    slabs = sections.groupBy("document").agg(F.floor(F.max("section_no") / SLAB).cast("int").alias("last_slab"))
+    shares = listed.groupBy("document").agg(F.ceil(F.count("*") / SLAB).cast("int").alias("shares"))
+    return slabs.join(shares, "document")
+
+
+def _split_sections(rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """Rows of sections in their slab, copied to each share of the requests."""
+    share = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    cut = rows.join(spread, "document").withColumn("share", share)
+    return cut.withColumn("slab", F.floor(F.col("section_no") / SLAB).cast("int")).drop("last_slab", "shares")
+
+
+def _split_requests(rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """Rows of requests in their share, copied to each slab of the sections."""
+    slab = F.explode(F.sequence(F.lit(0), "last_slab"))
+    cut = rows.join(spread, "document").withColumn("slab", slab)
+    return cut.withColumn("share", F.pmod(F.hash("request_id"), "shares")).drop("last_slab", "shares")
 
 
 def vector_scores(queries: DataFrame, sections: DataFrame, listed: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -174,12 +195,12 @@ def vector_scores(queries: DataFrame, sections: DataFrame, listed: DataFrame, ve
 
 def requirement_scores(
     queries: DataFrame, sections: DataFrame, listed: DataFrame, min_score: float | None = None,
-    chars: int | None = X.REQUIREMENT_CHARS, pad: int = CANDIDATES,
+    chars: int | None = X.REQUIREMENT_CHARS,
 ) -> DataFrame:
     """Similarity of the requirement words to title and opening of each section. Later steps do not
     use it; sections are only dropped where ``min_score`` asks for it."""
     text = X.requirement_text(F.col("section_title"), F.col("content"), chars)
-    scored = tfidf_scores(queries, sections, listed, text, query="requirements", pad=pad)
+    scored = tfidf_scores(queries, sections, listed, text, query="requirements")
     scored = scored.withColumnRenamed("score", "semantic_score")
     return scored if min_score is None else scored.filter(F.col("semantic_score") >= min_score)
 
@@ -187,7 +208,7 @@ def requirement_scores(
 def by_score(score: str) -> list[Column]:
     """Best first, then document order. Scores are compared to nine digits: the last bits of a
     distributed sum depend on the order of its parts, and equal texts must tie."""
-    return [F.round(score, 9).desc(), F.col("document"), F.col("section_no"), F.col("part_no")]
+    return [F.round(score, 9).desc(), F.col("document"), F.col("section_no")]
 
 
 def best_first(score: str) -> WindowSpec:
@@ -205,10 +226,6 @@ def word_counts(sections: DataFrame, section_text: Column) -> DataFrame:
     return X.counted(words, F.col("words"), [*SECTION_KEY, "length"])
 
 
-#: Copies of a word's weight over which the requests that ask for it are spread.
-SALTS = 16
-
-
 def bm25(
     pairs: DataFrame, queries: DataFrame, sections: DataFrame, section_text: Column, query: str = "query",
     k1: float = BM25_K1, b: float = BM25_B,
@@ -216,8 +233,10 @@ def bm25(
     """BM25 of every (request, section) pair in ``pairs``; a pair without a common word gets 0.
 
     Words are met by section and word, so a word all sections share is as good a key as any other.
+    Only the sections of ``pairs`` are counted word by word; the others give document frequencies.
     """
-    counts = word_counts(sections, section_text)
+    counts = word_counts(sections.join(pairs.select(*SECTION_KEY).distinct(), SECTION_KEY, "left_semi"), section_text)
+    found = sections.select(F.explode(F.array_distinct(X.terms(section_text))).alias("term"))
     stats = sections.agg(
         F.struct(F.count("*").alias("n"), F.avg(F.size(X.terms(section_text))).alias("length")).alias("stats")
     ).scalar()
@@ -225,7 +244,7 @@ def bm25(
     asked = queries.select("request_id", F.explode(F.array_distinct(X.terms(F.col(query)))).alias("term"))
     # A common word is in most requests: its weight is copied to each salt the requests are spread over.
     known = (
-        counts.groupBy("term").agg(F.count("*").alias("df"))
+        found.groupBy("term").agg(F.count("*").alias("df"))
         .join(asked.select("term").distinct(), "term", "left_semi")
         .select("term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -235,7 +254,7 @@ def bm25(
     damping = k1 * (1 - b + b * F.col("length") / stats["length"])
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + damping)
     hits = (
-        pairs.join(weighted, "request_id").hint("merge").join(counts, [*SECTION_KEY, "term"])
+        pairs.join(weighted, "request_id").join(counts, [*SECTION_KEY, "term"])
         .select(*pairs.columns, gain.alias("gain"))
     )
     return hits.unionByName(pairs.withColumn("gain", F.lit(0.0))).groupBy(*pairs.columns).agg(
@@ -275,7 +294,8 @@ def diversify(
 
 def assemble_results(chosen: DataFrame, requests: DataFrame, sections: DataFrame, now: Column | None = None) -> DataFrame:
     """One result object per request that found sections: metadata, ranked sections, full contents."""
-    detail = chosen.select("request_id", *SECTION_KEY, "importance_rank").join(sections, SECTION_KEY)
+    keys = chosen.select("request_id", *SECTION_KEY, "importance_rank")
+    detail = keys.join(sections.select(*SECTION_KEY, "section_title", "page_number", "content"), SECTION_KEY)
     row = F.struct("importance_rank", "document", "section_title", "page_number", "content")
     grouped = detail.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     moment = X.iso_timestamp(F.current_timestamp() if now is None else now)
@@ -299,12 +319,13 @@ def assemble_results(chosen: DataFrame, requests: DataFrame, sections: DataFrame
 
 def rank_sections(
     requests: DataFrame, sections: DataFrame, scorer: str | Callable[[Column, Column], Column] = "bm25",
-    chars: int | None = X.RETRIEVAL_CHARS,
+    chars: int | None = X.RETRIEVAL_CHARS, store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The whole ranking: retrieve, rerank, blend, diversify."""
+    """The whole ranking: retrieve, rerank, blend, diversify. ``store``, if given, is applied to the
+    candidates: a few rows per request that take the whole corpus to find and are read several
+    times."""
     queries = build_queries(requests)
     text = X.retrieval_text(F.col("section_title"), F.col("content"), chars)
-    scored = tfidf_scores(queries, sections, manifest(requests), text)
-    # A few rows per request that took the whole corpus to find, and that the reranker reads twice.
-    candidates = settled(retrieve(scored))
+    candidates = retrieve(tfidf_scores(queries, sections, manifest(requests), text))
+    candidates = store(candidates) if store else candidates
     return diversify(blend(rerank(candidates, queries, sections, scorer, chars)))

@@ -15,7 +15,8 @@ def parsed(text: DataFrame, schema: T.StructType) -> DataFrame:
     """
     with_bad = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD}
-    return text.withColumn("_json", F.from_json("value", with_bad, options)).select("file", "_json.*")
+    kept = [c for c in text.columns if c != "value"]
+    return text.withColumn("_json", F.from_json("value", with_bad, options)).select(*kept, "_json.*")
 
 
 def source_file() -> Column:

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quire import schemas
 from quire.functions import text as X
-from quire.sources.json_text import BAD_RECORD, read_json_files
+from quire.sources.json_text import BAD_RECORD, parsed, source_file
 
 
 def read_outlines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(outlines keyed by file stem, files that could not be read)."""
-    raw = read_json_files(spark, path, schemas.OUTLINE_FILE)
-    good = raw.filter(F.col(BAD_RECORD).isNull()).select(
-        X.file_stem(F.col("file")).alias("doc"), *schemas.OUTLINE_FILE.fieldNames()
-    )
-    return good, raw.filter(F.col(BAD_RECORD).isNotNull()).select("file", F.col(BAD_RECORD).alias("record"))
+    """(outlines keyed by document, records that could not be read).
+
+    A file holds one object, named by its ``doc`` field or else by the file's stem, or one object on
+    each line, as ``write_outlines`` makes them; those need the field, since they share a stem.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", source_file().alias("file"))
+    lines = F.filter(F.split("value", "\r?\n", -1), lambda l: F.length(F.trim(l)) > 0)
+    objects = F.forall(lines, lambda l: F.trim(l).startswith("{") & F.trim(l).endswith("}"))
+    several = (F.size(lines) > 1) & objects
+    records = files.select("file", several.alias("_several"), F.explode(
+        F.when(several, lines).otherwise(F.array("value"))
+    ).alias("value"))
+    schema = T.StructType([T.StructField("doc", T.StringType()), *schemas.OUTLINE_FILE.fields])
+    named = F.coalesce("doc", F.when(~F.col("_several"), X.file_stem(F.col("file"))))
+    raw = parsed(records.withColumn("record", F.col("value")), schema).withColumn("doc", named)
+    good = F.col(BAD_RECORD).isNull() & F.col("doc").isNotNull()
+    return raw.filter(good).select("doc", *schemas.OUTLINE_FILE.fieldNames()), raw.filter(~good).select("file", "record")
 
 
 def truth_entries(outlines: DataFrame, label_title: bool = False) -> DataFrame:
@@ -47,9 +58,9 @@ def as_outline_files(outlines: DataFrame) -> DataFrame:
 
 def outline_json(outlines: DataFrame) -> DataFrame:
     """The JSON object of each document, characters of any script kept."""
-    return outlines.select("doc", "part", F.to_json(F.struct("title", "outline")).alias("json"))
+    return outlines.select("doc", F.to_json(F.struct("title", "outline")).alias("json"))
 
 
 def write_outlines(outlines: DataFrame, path: str) -> None:
     """JSON lines, one object per document with its name."""
-    outlines.select("doc", "part", "title", "outline").write.mode("overwrite").json(path)
+    outlines.select("doc", "title", "outline").write.mode("overwrite").json(path)

@@ -24,15 +24,20 @@ def test_outline_dialects(spark, tmp_path):
 
 def test_outline_sink(spark, tmp_path):
     df = spark.createDataFrame(
-        [("a", 0, "Größe", [("H1", "α β", 2)]), ("b", 0, "", [])], "doc string, part int, title string, outline array<struct<level:string,text:string,page:int>>"
+        [("a", "Größe", [("H1", "α β", 2)]), ("b", "", []), ("c", "T", [])], "doc string, title string, outline array<struct<level:string,text:string,page:int>>"
     )
-    assert df.count() == 2
     path = str(tmp_path / "out")
     outline_files.write_outlines(df, path)
     lines = [json.loads(l.value) for l in spark.read.text(path).collect()]
-    assert {"doc": "a", "part": 0, "title": "Größe", "outline": [{"level": "H1", "text": "α β", "page": 2}]} in lines
+    assert {"doc": "a", "title": "Größe", "outline": [{"level": "H1", "text": "α β", "page": 2}]} in lines
     objects = {r.doc: r.json for r in outline_files.outline_json(df).collect()}
     assert json.loads(objects["a"]) == {"title": "Größe", "outline": [{"level": "H1", "text": "α β", "page": 2}]}
+    again, bad = outline_files.read_outlines(spark, path)
+    assert {r.doc: r.title for r in again.collect()} == {"a": "Größe", "b": "", "c": "T"} and bad.count() == 0
+    one = str(tmp_path / "one")
+    outline_files.write_outlines(df.coalesce(1), one)
+    again, bad = outline_files.read_outlines(spark, one)
+    assert {r.doc: [tuple(e)[:3] for e in r.outline] for r in again.collect()} == {"a": [("H1", "α β", 2)], "b": [], "c": []}
     back = outline_files.as_outline_files(df).filter("doc = 'a'").first()
     assert back.outline[0].page == 2 and back.headings is None
 

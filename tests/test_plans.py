@@ -62,12 +62,13 @@ def test_no_query_plans_a_cross_join(spark):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["doc", "part", "title", "n", "entries"] and df.count() == 200
+    assert df.columns == ["doc", "title", "n", "entries"] and df.count() == 200
 
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"label_lines", "eval_documents", "eval_missed_fuzzy", "train_stack"}
+    own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
+    assert own - set(entry.oracle_sql()) - {"outlines", "outline_headings", "outline_objects"} == {"label_lines", "eval_documents", "eval_missed_fuzzy", "train_stack"}
 
 
 @pytest.mark.parametrize("name", [

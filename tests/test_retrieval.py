@@ -50,7 +50,7 @@ def naive_tfidf(sections, texts, requests, queries):
     counts = [grams(t) for t in texts]
     df = Counter(t for c in counts for t in c)
     n = len(counts)
-    idf = {t: math.log((1 + n) / (1 + f)) + 1 for t, f in df.items() if 2 <= f <= 0.95 * n}
+    idf = {t: math.log((1 + n) / (1 + f)) + 1 for t, f in df.items()}
 
     def vector(c):
         v = {t: k * idf[t] for t, k in c.items() if t in idf}
@@ -81,15 +81,27 @@ def test_tfidf_like_vectors(spark):
     assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
-def test_padding_never_loses_a_candidate(spark, rows):
+def test_a_rare_word_decides(spark):
+    words = ["menu salad soup", "train beach city"] * 40
+    sections = [(f"doc{d}", s, f"Part {s}", 1, words[s] + (" zanzibar" if (d, s) in {(0, 17), (1, 5)} else "")) for d in range(2) for s in range(80)]
+    found = spark.createDataFrame(sections, "document string, section_no int, section_title string, page_number int, content string")
+    asked = spark.createDataFrame([("r", "Cook", "zanzibar", [("doc0", "x"), ("doc1", "x")])], REQUESTS)
+    queries = R.build_queries(asked)
+    scored = R.tfidf_scores(queries, found, Q.manifest(asked), F.col("content"), "requirements")
+    best = R.retrieve(scored, 50).orderBy("rank").collect()
+    assert [(r.document, r.section_no) for r in best[:2]] == [("doc0", 17), ("doc1", 5)] and best[1].score > 0 == best[2].score
+    assert len(best) == 50 and scored.count() == 160
+    assert R.requirement_scores(queries, found, Q.manifest(asked)).count() == 160
+
+
+def test_popular_documents_are_spread(spark, rows, monkeypatch):
     found, requests, _, _ = corpus(spark)
     queries = R.build_queries(requests)
-    listed = Q.manifest(requests)
-    for column in ("query", "requirements"):
-        full = R.tfidf_scores(queries, found, listed, F.col("section_title"), column, pad=1000)
-        padded = R.tfidf_scores(queries, found, listed, F.col("section_title"), column, pad=7)
-        best = [rows(R.retrieve(s, 7), "request_id", "document", "section_no", "rank") for s in (full, padded)]
-        assert best[0] == best[1] and len(best[0]) == 49
+    whole = R.tfidf_scores(queries, found, Q.manifest(requests), F.col("content")).withColumn("score", F.round("score", 9))
+    before = rows(whole)
+    monkeypatch.setattr(R, "SLAB", 3)
+    spread = R.tfidf_scores(queries, found, Q.manifest(requests), F.col("content")).withColumn("score", F.round("score", 9))
+    assert rows(spread) == before
 
 
 def test_bm25_like_the_formula(spark):
@@ -118,14 +130,14 @@ def test_bm25_like_the_formula(spark):
 def test_diversity_like_the_greedy_walk(spark):
     rng = random.Random(2)
     rows = [
-        (f"r{r}", f"d{rng.randint(0, 4)}", s, 0, rng.choice([0.1, 0.2, 0.3, 0.4])) for r in range(120) for s in range(rng.randint(1, 12))
+        (f"r{r}", f"d{rng.randint(0, 4)}", s, rng.choice([0.1, 0.2, 0.3, 0.4])) for r in range(120) for s in range(rng.randint(1, 12))
     ]
-    df = spark.createDataFrame(rows, "request_id string, document string, section_no int, part_no int, final_score double")
+    df = spark.createDataFrame(rows, "request_id string, document string, section_no int, final_score double")
     got = {}
     for r in R.diversify(df).orderBy("request_id", "importance_rank").collect():
         got.setdefault(r.request_id, []).append((r.document, r.section_no))
     for request in {r[0] for r in rows}:
-        scored = [(r[4], r[1], r[2]) for r in rows if r[0] == request]
+        scored = [(r[3], r[1], r[2]) for r in rows if r[0] == request]
         assert got[request] == sequential.diverse(scored, 2, 5), request
 
 

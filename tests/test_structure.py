@@ -27,7 +27,9 @@ def test_outline_rules(spark):
     cases = [
         ("Fine heading", "H1", 0.6, "H1"), ("Weak", "H1", 0.59, "Body"), ("Weak two", "H2", 0.64, "Body"),
         ("Good two", "H2", 0.65, "H2"), ("Weak three", "H3", 0.69, "Body"), ("Weak title", "Title", 0.5, "Body"),
-        ("Table of  Contents", "H1", 0.9, "Body"), ("My contents", "H1", 0.9, "H1"), ("LIST OF FIGURES", "H1", 0.9, "Body"),
+        ("Table of  Contents", "H1", 0.9, "Body"), ("Table of\u00a0contents", "H1", 0.9, "Body"),
+        ("Figure\u00a03", "H1", 0.9, "Body"), ("Figure\u2003\u0663", "H1", 0.9, "Body"), ("Appendix\u2003B", "H1", 0.9, "Body"),
+        ("My contents", "H1", 0.9, "H1"), ("LIST OF FIGURES", "H1", 0.9, "Body"),
         ("See figure 3", "H2", 0.9, "Body"), ("Reference", "H2", 0.9, "Body"), ("References list", "H2", 0.9, "H2"),
         ("Appendix B", "H2", 0.9, "Body"), ("Glossary", "Title", 0.9, "Body"), ("12", "H1", 0.9, "Body"), ("1234", "H1", 0.9, "H1"),
         ("²", "H1", 0.9, "Body"), (" ".join("w" * 26), "H1", 0.9, "Body"), (" ".join("w" * 25), "H1", 0.9, "H1"),
@@ -96,21 +98,16 @@ def test_sections_like_the_walk_across_blocks(spark, small_blocks):
         expected = sequential.sections([(l[1], l[3], l[4]) for l in lines])
         got = [(r.section_title, r.page_number, r.content) for r in found if r.document == doc]
         assert got == expected, doc
-    assert all(r.part_no == 0 for r in found)
 
 
-def test_long_sections_go_on_in_parts(spark, small_blocks):
-    rows = random_documents(3)
+def test_long_documents_stay_one_row(spark):
+    rows = [("d", 1, 0, "Start", "H1", 9.0)] + [("d", page, 1, f"w{page}", "H2" if page % 500 == 0 else "Body", 9.0) for page in range(1, 6001)]
     df = spark.createDataFrame(rows, COLUMNS)
-    whole = {(r.document, r.section_no): r for r in sections.sections(df).collect()}
-    parts = {}
-    for r in sections.sections(df, pages_per_part=1).orderBy("document", "section_no", "part_no").collect():
-        parts.setdefault((r.document, r.section_no), []).append(r)
-    assert max(len(p) for p in parts.values()) > 1
-    for key, r in whole.items():
-        # Stripping each part can only take blanks from its ends.
-        assert " ".join(" ".join(p.content for p in parts[key]).split()) == " ".join(r.content.split())
-        assert {(p.section_title, p.page_number) for p in parts[key]} == {(r.section_title, r.page_number)}
+    made = outline.outlines(outline.flag_adjacent_duplicates(df)).collect()
+    assert [(r.doc, len(r.outline)) for r in made] == [("d", 13)]
+    found = sections.sections(df).orderBy("section_no").collect()
+    assert [r.content.split()[0] for r in found] == ["w1"] + [f"w{p}" for p in range(501, 5502, 500)]
+    assert found[-1].content.endswith("w5999")
 
 
 def test_adjacent_duplicates(spark, rows):
@@ -136,5 +133,3 @@ def test_titles_and_outlines(spark):
     assert {d: r.title for d, r in made.items()} == expected
     assert [tuple(e) for e in made["classified"].outline] == [("H1", "One", 2), ("H2", "Two", 3)]
     assert made["largest"].outline == []
-    parts = outline.outlines(flagged, pages_per_part=2).filter("doc = 'classified'").orderBy("part").collect()
-    assert [(p.part, p.title, [e.text for e in p.outline]) for p in parts] == [(0, "The title", ["One"]), (1, "The title", ["Two"])]
