@@ -56,6 +56,7 @@ def mapped(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):
             yield function(batch)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return df.mapInArrow(run, schema)
 

@@ -224,6 +224,8 @@ class Merges:
 class Coder(WordCoder):
     """Encodes texts to little-endian unsigned 32-bit ids, and decodes them."""
 
+    together = 8_000_000  # a run through the queue costs as many steps as there are ranks
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.merges = Merges(ranks)

@@ -19,16 +19,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ODD_SPACE = re.compile(r" (?=\s|$)")
 
 #: Words that a worker remembers, twice; longer ones are encoded each time.
-REMEMBERED, LONG = 200_000, 64
-
-#: Characters that are worked on together; a longer text is worked on alone.
-TOGETHER = 8_000_000
+REMEMBERED, LONG = 50_000, 64
 
 
 class WordCoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers. Subclasses say how whole texts
     and words with a space before them are encoded."""
 
+    #: Characters that are worked on together; a longer text is worked on alone.
+    together = 2_000_000
+
     def __init__(self) -> None:
         self.recent: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -42,7 +42,7 @@ class WordCoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         part, size = [], 0
         for text in texts:
-            if part and size + len(text) > TOGETHER:
+            if part and size + len(text) > self.together:
                 yield from self._together(part)
                 part, size = [], 0
             part.append(text)
