@@ -7,7 +7,7 @@ from quire.acceptance.queries import BASE_DATE
 from quire.functions import text as X
 from quire.operators.retrieval import STOP_WORDS
 from quire.profiles import OUTLINE_PROFILE, SECTION_PROFILE, SECTION_CONTINUERS, Profile
-from quire.sources import pages, records
+from quire.sources import records
 
 SPACES = "'" + X.WHITESPACE + "'"
 WORD = X.WORD_CLASS
@@ -311,11 +311,16 @@ def _drawn(salt: str, size: int) -> str:
     return f"(('0x' || substr(md5('42:' || c_custkey || ':{salt}'), 1, 8))::BIGINT % {size})"
 
 
-_HTML_TAGS = "|".join(pages.HTML_SIZES)
-_HTML_SIZE = " ".join(f"WHEN '{t}' THEN {s}::DOUBLE" for t, s in pages.HTML_SIZES.items())
-_HTML_TEXT = r"regexp_replace(inside, '<[^>]*>', ' ', 'g')"
-for _name, _char in pages.HTML_ENTITIES:
-    _HTML_TEXT = "replace({}, '{}', '{}')".format(_HTML_TEXT, _name, _char.replace("'", "''"))
+_HTML_TAGS = (
+    "address|article|aside|blockquote|body|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|"
+    "h1|h2|h3|h4|h5|h6|head|header|hr|html|legend|li|main|menu|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|"
+    "thead|title|tr|ul"
+)
+_HTML_TEXT = r"regexp_replace(line.inside, '<[^>]*>', ' ', 'g')"
+for _name, _char in (
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("reg", "®"), ("middot", "·"), ("amp", "&"),
+):
+    _HTML_TEXT = f"replace({_HTML_TEXT}, '&{_name};', '{_char}')"
 
 _HASHED = "md5('42:' || doc_id)"
 
@@ -386,25 +391,31 @@ FROM rows WHERE length(text) > 0 GROUP BY ALL""",
   SELECT CAST(doc_id AS VARCHAR) AS doc, (len(string_split(text, chr(10))) - 1) // 40 + 1 AS pages FROM documents
 ) SELECT doc, CAST(pages AS BIGINT) AS pages FROM pages_of""",
     "html_lines": f"""WITH cleaned AS (
-  SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '[\\x01\\x02]', '', 'g') AS h
+  SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '[\\x01-\\x03]', '', 'g') AS h
   FROM pages
 ),
 marked AS (
-  SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<({_HTML_TAGS})(\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g'),
-    '(?i)</({_HTML_TAGS}|ul|ol|div|nav|article|body|html)>', chr(1) || chr(2), 'g') AS h
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br\\s*/?>', chr(3), 'g'),
+    '(?i)<({_HTML_TAGS})(\\s[^>]*)?/?>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</({_HTML_TAGS})\\s*>', chr(1) || 'body' || chr(2), 'g') AS h
   FROM cleaned
 ),
 pieces AS (
-  SELECT page_id, unnest(string_split(h, chr(1))) AS piece, generate_subscripts(string_split(h, chr(1)), 1) - 1 AS spot FROM marked
+  SELECT page_id, unnest(string_split(h, chr(1))) AS piece, generate_subscripts(string_split(h, chr(1)), 1) AS spot FROM marked
 ),
 parts AS (
-  SELECT page_id, spot, lower(split_part(piece, chr(2), 1)) AS tag, substr(piece, strpos(piece, chr(2)) + 1) AS inside
-  FROM pieces WHERE contains(piece, chr(2))
-),
-texts AS (SELECT *, {strip(f"regexp_replace({_HTML_TEXT}, '[{X.SPACE_CLASS}]+', ' ', 'g')")} AS text FROM parts WHERE length(tag) > 0)
-SELECT CAST(page_id AS VARCHAR) AS doc, 1 AS page_number, CAST(spot AS INTEGER) AS line_no, tag, text,
-  CASE tag {_HTML_SIZE} END AS font_size,
-  CAST(regexp_matches(inside, '(?i)<(b|strong)(\\s[^>]*)?>') OR tag LIKE 'h%' OR tag = 'title' AS INTEGER) AS is_bold
+  SELECT page_id, spot, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE 'body' END AS tag,
+    string_split(CASE WHEN contains(piece, chr(2)) THEN substr(piece, strpos(piece, chr(2)) + 1) ELSE piece END, chr(3)) AS insides
+  FROM pieces
+),
+line AS (
+  SELECT page_id, spot, tag, unnest(insides) AS inside, generate_subscripts(insides, 1) AS below FROM parts
+),
+texts AS (SELECT *, {strip(f"regexp_replace({_HTML_TEXT}, '[{X.SPACE_CLASS}]+', ' ', 'g')")} AS text FROM line)
+SELECT CAST(page_id AS VARCHAR) AS doc, 1 AS page_number,
+  CAST(row_number() OVER (PARTITION BY page_id ORDER BY spot, below) - 1 AS INTEGER) AS line_no, tag, text,
+  CASE tag WHEN 'title' THEN 30.0::DOUBLE WHEN 'h1' THEN 24.0::DOUBLE WHEN 'h2' THEN 20.0::DOUBLE WHEN 'h3' THEN 16.0::DOUBLE
+    WHEN 'h4' THEN 14.0::DOUBLE WHEN 'h5' THEN 13.0::DOUBLE WHEN 'h6' THEN 12.5::DOUBLE ELSE 12.0::DOUBLE END AS font_size,
+  CAST(regexp_matches(inside, '(?i)<(b|strong)(\\s[^>]*)?>') OR tag IN ('title', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AS INTEGER) AS is_bold
 FROM texts WHERE length(text) > 0""",
     "page_quantiles": f"""WITH {LINES}
 SELECT doc, page_number, round(quantile_cont(font_size, 0.25), 6) AS q25, round(quantile_cont(font_size, 0.75), 6) AS q75

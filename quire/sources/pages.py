@@ -209,42 +209,85 @@ def lines_from_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 DEFAULT_SIZE = 12.0
 
-# Tags that open a line, and the size each is shown at.
-HTML_SIZES = {
-    "title": 30.0, "h1": 24.0, "h2": 20.0, "h3": 16.0, "h4": 14.0, "h5": 13.0, "h6": 12.5,
-    "p": 12.0, "li": 12.0,
-}
+# Sizes of the tags that are not shown at the default size.
+HTML_SIZES = {"title": 30.0, "h1": 24.0, "h2": 20.0, "h3": 16.0, "h4": 14.0, "h5": 13.0, "h6": 12.5}
+# Tags that open a line of their own.
+HTML_BLOCKS = (
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td "
+    "tfoot th thead title tr ul"
+).split()
 # The named character references that are decoded, ampersand last.
-HTML_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+HTML_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"),
+    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
+    ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&deg;", "°"), ("&times;", "×"), ("&amp;", "&"),
+)
+#: Tag of text that stands in no block of its own.
+LOOSE = "body"
+
+
+def _numeric_references(text: Column) -> Column:
+    """Decimal and hexadecimal character references decoded, those of no character left."""
+    def shown(found: Column) -> Column:
+        hexadecimal = F.when(
+            found.rlike("^&#[xX]"), F.regexp_extract(found, "^&#[xX]([0-9a-fA-F]+);", 1)
+        ).otherwise(F.conv(F.regexp_extract(found, "^&#([0-9]+);", 1), 10, 16))
+        code = F.conv(hexadecimal, 16, 10).cast("long")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")).otherwise(found)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});)"), F.lit(1)))
+    return F.aggregate(found, text, lambda done, one: F.replace(done, one, shown(one)))
+
+
+def _html_lines(html: Column) -> Column:
+    """Array of a page's lines: tag, text and inner mark-up of every block and of loose text; ``br``
+    ends a line."""
+    html = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
+    html = F.regexp_replace(html, "[\x01\x02\x03]", "")
+    html = F.regexp_replace(html, r"(?i)<br\s*/?>", "\x03")
+    html = F.regexp_replace(html, rf"(?i)<({'|'.join(HTML_BLOCKS)})(\s[^>]*)?/?>", "\x01$1\x02")
+    html = F.regexp_replace(html, rf"(?i)</({'|'.join(HTML_BLOCKS)})\s*>", f"\x01{LOOSE}\x02")
+
+    def lines(piece: Column) -> Column:
+        tag = F.lower(F.when(piece.contains("\x02"), F.substring_index(piece, "\x02", 1)).otherwise(F.lit(LOOSE)))
+        inner = F.regexp_replace(piece, "^[^\x02]*\x02", "")
+        return F.transform(F.split(inner, "\x03", -1), lambda part: F.struct(tag.alias("tag"), part.alias("inner")))
+
+    def shown(line: Column) -> Column:
+        text = _numeric_references(F.regexp_replace(line["inner"], r"<[^>]*>", " "))
+        for name, char in HTML_ENTITIES:
+            text = F.replace(text, F.lit(name), F.lit(char))
+        text = X.strip(F.regexp_replace(text, f"[{X.SPACE_CLASS}]+", " "))
+        return F.struct(line["tag"].alias("tag"), line["inner"].alias("inner"), text.alias("text"))
+
+    found = F.transform(F.flatten(F.transform(F.split(html, "\x01", -1), lines)), shown)
+    return F.filter(found, lambda line: F.length(line["text"]) > 0)
+
+
+def pages_from_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Web pages as page rows: every page is page 1 of its document, a line for each block, sized by
+    its tag. The rows go wherever page trees or plain text go."""
+    sizes = F.create_map(*[F.lit(v) for pair in HTML_SIZES.items() for v in pair])
+    found = pages.select(F.col(id_col).cast("string").alias("doc"), _html_lines(F.coalesce(F.col(html_col), F.lit(""))).alias("found"))
+
+    def line(read: Column, at: Column) -> Column:
+        size = F.coalesce(F.try_element_at(sizes, read["tag"]), F.lit(DEFAULT_SIZE))
+        top = at * F.lit(PLAIN_LINE_HEIGHT)
+        bold = read["inner"].rlike(r"(?i)<(b|strong)(\s[^>]*)?>") | read["tag"].rlike("^h[1-6]$|^title$")
+        return F.struct(
+            at.alias("line_no"), read["text"].alias("text"), size.alias("font_size"), F.lit("html").alias("font_name"),
+            bold.cast("int").alias("is_bold"), F.lit(0.0).alias("x_position"), top.alias("y_position"),
+            (top + size).alias("y_bottom"), read["tag"].alias("tag"),
+        )
+
+    height = F.greatest(F.size("found") * F.lit(PLAIN_LINE_HEIGHT), F.lit(PAGE_HEIGHT))
+    return found.select("doc", F.lit(1).alias("page_number"), height.alias("page_height"), F.transform("found", line).alias("lines"))
 
 
 def lines_from_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Block elements of web pages as lines of page 1, sized by tag."""
-    tags = "|".join(HTML_SIZES)
-    html = F.regexp_replace(F.col(html_col), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    html = F.regexp_replace(html, "[\\x01\\x02]", "")
-    html = F.regexp_replace(html, rf"(?i)<({tags})(\s[^>]*)?>", "\x01$1\x02")
-    html = F.regexp_replace(html, rf"(?i)</({tags}|ul|ol|div|nav|article|body|html)>", "\x01\x02")
-    pieces = pages.select(
-        F.col(id_col).cast("string").alias("doc"), F.posexplode(F.split(html, "\x01", -1)).alias("line_no", "piece")
-    )
-    tag = F.lower(F.substring_index("piece", "\x02", 1))
-    inner = F.regexp_replace(F.col("piece"), "^[^\x02]*\x02", "")
-    text = F.regexp_replace(inner, r"<[^>]*>", " ")
-    for name, char in HTML_ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = X.strip(F.regexp_replace(text, f"[{X.SPACE_CLASS}]+", " "))
-    sizes = F.create_map(*[F.lit(v) for pair in HTML_SIZES.items() for v in pair])
-    return (
-        pieces.withColumns({"tag": tag, "inner": inner, "text": text})
-        .filter(F.col("piece").contains("\x02") & (F.length("tag") > 0) & (F.length("text") > 0))
-        .select(
-            "doc",
-            F.lit(1).alias("page_number"),
-            "line_no",
-            "tag",
-            "text",
-            sizes[F.col("tag")].alias("font_size"),
-            (F.col("inner").rlike(r"(?i)<(b|strong)(\s[^>]*)?>") | F.col("tag").rlike("^h|^title")).cast("int").alias("is_bold"),
-        )
-    )
+    """Blocks of web pages as lines of page 1, sized by tag."""
+    rows = _unnested(pages_from_html(pages, id_col, html_col), F.col("lines"))
+    return rows.select("doc", "page_number", "line_no", "tag", "text", "font_size", "is_bold")

@@ -107,15 +107,20 @@ def test_text_lines(spark, rows):
 
 def test_html(spark, rows):
     page = (
-        "<html><head><title>T &amp; U</title><script>var a='<p>no</p>';</script></head><body><!-- <p>no</p> -->"
-        "<H1 class=x>Head</H1><p><b>Bold</b> and&nbsp;more<br>x<p>open<li>item</li><pre>skip</pre></body></html>"
+        "<html><head><title>T &amp; U</title><script>var a='<p>no</p>';</script></head><body><!-- <p>no</p> -->loose &copy; &#8364;&#x41;&#0;"
+        "<H1 class=x>Head<br/>two</H1><p><b>Bold</b> and&nbsp;more<br>x<p>open<li>item</li><pre>kept</pre>"
+        "<table><tr><td>one</td><td>two</td></tr></table><div>in <i>a</i> div</div> after</body></html>"
     )
-    df = spark.createDataFrame([(7, page)], "page_id int, html string")
-    got = [(r.tag, r.text, r.font_size, r.is_bold) for r in P.lines_from_html(df).orderBy("line_no").collect()]
-    assert got == [
-        ("title", "T & U", 30.0, 1), ("h1", "Head", 24.0, 1), ("p", "Bold and more x", 12.0, 1), ("p", "open", 12.0, 0),
-        ("li", "item", 12.0, 0),
+    df = spark.createDataFrame([(7, page), (8, None), (9, "")], "page_id int, html string")
+    lines = P.lines_from_html(df).orderBy("line_no").collect()
+    assert [(r.tag, r.text, r.font_size, r.is_bold) for r in lines] == [
+        ("title", "T & U", 30.0, 1), ("body", "loose © €A&#0;", 12.0, 0), ("h1", "Head", 24.0, 1), ("h1", "two", 24.0, 1),
+        ("p", "Bold and more", 12.0, 1), ("p", "x", 12.0, 0), ("p", "open", 12.0, 0), ("li", "item", 12.0, 0), ("pre", "kept", 12.0, 0),
+        ("td", "one", 12.0, 0), ("td", "two", 12.0, 0), ("div", "in a div", 12.0, 0), ("body", "after", 12.0, 0),
     ]
+    assert [r.line_no for r in lines] == list(range(13)) and {r.doc for r in lines} == {"7"}
+    featured = P.feature_lines(P.pages_from_html(df)).orderBy("line_no").collect()
+    assert [r.text for r in featured] == [r.text for r in lines] and featured[2].relative_font_size == 2.0
 
 
 def test_bad_pages_are_set_aside(spark, tmp_path, rows):
