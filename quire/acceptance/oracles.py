@@ -541,6 +541,43 @@ SELECT label, round((SELECT sum(n) FROM counts)::DOUBLE / ((SELECT count(*) FROM
   SELECT doc_id, 'q' || quality || 't' || toxic AS label FROM labels JOIN documents USING (doc_id)
 )
 SELECT doc_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS index FROM rows""",
+    "imputed_features": """WITH rows AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(8.0 + (length(text) % 5) * 1.5 AS DOUBLE) END AS font_size,
+    CASE WHEN doc_id % 5 <> 0 THEN (doc_id * 37 % 1000) / 4::DOUBLE END AS x_position,
+    """ + word_count("text") + """::DOUBLE AS word_count,
+    CASE WHEN doc_id % 3 <> 0 THEN length(text)::DOUBLE END AS char_count
+  FROM labels JOIN documents USING (doc_id)
+),
+middle AS (SELECT median(font_size) AS f, median(x_position) AS x, median(word_count) AS w, median(char_count) AS c FROM rows)
+SELECT doc_id, coalesce(font_size, f) AS font_size, coalesce(x_position, x) AS x_position,
+  coalesce(word_count, w) AS word_count, coalesce(char_count, c) AS char_count FROM rows, middle""",
+    "font_one_hot": """WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS font FROM labels JOIN documents USING (doc_id)
+),
+fonts AS (SELECT font, CAST(row_number() OVER (ORDER BY count(*) DESC, font) - 1 AS INTEGER) AS slot FROM rows GROUP BY font)
+SELECT doc_id, slot, 1::INTEGER AS n_set, 1::DOUBLE AS value FROM rows JOIN fonts USING (font)""",
+    "text_features_tfidf": f"""WITH rows AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[{WORD}]{{2,}}') AS w FROM labels JOIN documents USING (doc_id)
+),
+grams AS (
+  SELECT doc_id, unnest(w) AS term FROM rows UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM rows
+),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+found AS (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term),
+size AS (SELECT count(*)::DOUBLE AS n FROM rows),
+terms AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS slot, idf FROM (
+    SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM found, size WHERE df >= 2 AND df <= 0.95 * n
+    ORDER BY total DESC, term LIMIT 30000
+  )
+),
+weights AS (
+  SELECT term, slot, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM counts JOIN terms USING (term)
+)
+SELECT term, slot, count(*) AS n_rows, round(sum(w), 5) AS weight FROM weights GROUP BY term, slot""",
+    "argmax_class": """SELECT vec_id, printf('c%04d', list_position(s, list_max(s)) - 1) AS level, round(list_max(s), 6) AS confidence
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)""",
     "synth_records": f"""WITH drawn AS (
   SELECT c_custkey, {_drawn("venue", len(records.VENUES))} AS venue, {_drawn("contact", len(records.CONTACTS))} AS contact,
     {_drawn("name", len(records.FIRST_NAMES))} AS name, {_drawn("reason", len(records.REASONS))} AS reason,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.acceptance import inputs as I
-from quire.functions import text as X
+from quire.functions import text as X, vectors as V
 from quire.operators import (
     evaluate, labeling, layout, models, outline, retrieval, rules, sampling, sections as sections_,
 )
@@ -296,9 +296,61 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers of the classes, as training gives them."""
     rows = I.labelled_documents(spark, folder).select("doc_id", "label")
-    index = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(rows)
-    return index.transform(rows).select("doc_id", "label", F.col("index").cast("int").alias("index"))
+    indexed = models.label_indexer(rows, "label").transform(rows)
+    return indexed.select("doc_id", "label", F.col(models.LABEL_INDEX).cast("int").alias("index"))
+
+
+def _model_features(rows: DataFrame) -> tuple[DataFrame, PipelineModel]:
+    """Rows with the parts of the feature vector that a fit on all of them makes, and the fit."""
+    rows = models.model_rows(rows)
+    fitted = models.fit_features(rows)
+    # The last two stages put the parts together and drop them.
+    return PipelineModel(fitted.stages[:-2]).transform(rows), fitted
+
+
+def imputed_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers with the median in place of missing ones; some are made missing."""
+    rows = I.labelled_documents(spark, folder).withColumns({
+        "font_size": F.when(F.col("doc_id") % 7 != 0, F.col("font_size")),
+        "x_position": F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") * 37 % 1000 / 4),
+        "char_count": F.when(F.col("doc_id") % 3 != 0, F.col("char_count")),
+    })
+    made, _ = _model_features(rows)
+    return made.select("doc_id", *[F.col(f"{c}_filled").alias(c) for c in ("font_size", "x_position", "word_count", "char_count")])
+
+
+def font_one_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot that a row's font sets."""
+    made, _ = _model_features(I.labelled_documents(spark, folder))
+    slots = F.unwrap_udt("font_vector")
+    return made.select(
+        "doc_id", slots["indices"][0].alias("slot"), F.size(slots["indices"]).alias("n_set"), slots["values"][0].alias("value")
+    )
+
+
+def text_features_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """Each term of the classifier's vocabulary with the rows that have it and its weight in all."""
+    made, fitted = _model_features(I.labelled_documents(spark, folder))
+    terms = [stage.vocabulary for stage in fitted.stages if hasattr(stage, "vocabulary")][1]
+    slots = F.unwrap_udt("text_vector")
+    weights = made.select(F.explode(F.arrays_zip(slots["indices"].alias("slot"), slots["values"].alias("weight"))).alias("e"))
+    sums = weights.groupBy(F.col("e.slot").alias("slot")).agg(
+        F.count("*").alias("n_rows"), rounded(F.sum("e.weight"), 5).alias("weight")
+    )
+    names = spark.createDataFrame(list(enumerate(terms)), "slot int, term string")
+    return names.join(sums, "slot").select("term", "slot", "n_rows", "weight")
+
+
+def argmax_class(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector read as scores of classes: the best class and its score."""
+    rows = I.table(spark, folder, "embeddings").withColumn("scores", F.col("embedding").cast("array<double>"))
+    size = rows.select(F.max(F.size("scores"))).first()[0] or 1
+    return rows.select(
+        "vec_id", V.predicted_class(F.col("scores"), [f"c{i:04d}" for i in range(size)]).alias("level"),
+        rounded(V.confidence(F.col("scores"))).alias("confidence"),
+    )
 
 
 def train_stack(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,5 +375,5 @@ QUERIES = [
     eval_documents, eval_documents_exact, eval_metrics, eval_missed, eval_missed_fuzzy, confusion, class_report,
     manifest_found, manifest_missing, request_queries, retrieval_texts, cosine_topk, diverse_topk,
     tfidf_rank, requirement_scores, bm25_rank, blend_rank, ranked_results,
-    class_weights, label_index, train_stack, synth_records,
+    class_weights, label_index, imputed_features, font_one_hot, text_features_tfidf, argmax_class, train_stack, synth_records,
 ]
