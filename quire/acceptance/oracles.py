@@ -576,6 +576,13 @@ weights AS (
   SELECT term, slot, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM counts JOIN terms USING (term)
 )
 SELECT term, slot, count(*) AS n_rows, round(sum(w), 5) AS weight FROM weights GROUP BY term, slot""",
+    "train_holdout": """WITH rows AS (
+  SELECT doc_id, 'q' || quality || 't' || toxic AS label, md5('42:' || doc_id) AS hash FROM labels JOIN documents USING (doc_id)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY hash) AS rank, count(*) OVER (PARTITION BY label) AS n FROM rows
+)
+SELECT doc_id, label, rank <= floor(0.2 * n + 0.5) AS is_test FROM ranked""",
     "argmax_class": """SELECT vec_id, printf('c%04d', list_position(s, list_max(s)) - 1) AS level, round(list_max(s), 6) AS confidence
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)""",
     "synth_records": f"""WITH drawn AS (

@@ -354,13 +354,17 @@ def argmax_class(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_stack(spark: SparkSession, folder: str) -> DataFrame:
-    """Hold-out classes and confidences of the stacked classifier, at small model sizes."""
-    plan = models.TrainingPlan(terms=100, fonts=32, deep=4, shallow=2, rounds=3, trees=10, meta_rounds=50)
-    rows = I.labelled_documents(spark, folder)
-    _, held_out = jobs.training_job(rows, F.col("doc_id"), plan)
+    """Hold-out classes and confidences of the stacked classifier at its default sizes."""
+    _, held_out = jobs.training_job(I.labelled_documents(spark, folder), F.col("doc_id"))
     return held_out.select("doc_id", "label", "predicted", rounded("confidence").alias("confidence"))
 
 
+def train_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that ``train_stack`` trains on and those that it holds out."""
+    rows = I.labelled_documents(spark, folder).select("doc_id", "label")
+    return sampling.with_split(rows, "label", F.col("doc_id"))
+
+
 def synth_records(spark: SparkSession, folder: str) -> DataFrame:
     """One record per customer."""
     return records.synth_records(I.table(spark, folder, "customer"), BASE_DATE, "c_custkey")
@@ -375,5 +379,5 @@ QUERIES = [
     eval_documents, eval_documents_exact, eval_metrics, eval_missed, eval_missed_fuzzy, confusion, class_report,
     manifest_found, manifest_missing, request_queries, retrieval_texts, cosine_topk, diverse_topk,
     tfidf_rank, requirement_scores, bm25_rank, blend_rank, ranked_results,
-    class_weights, label_index, imputed_features, font_one_hot, text_features_tfidf, argmax_class, train_stack, synth_records,
+    class_weights, label_index, imputed_features, font_one_hot, text_features_tfidf, argmax_class, train_holdout, train_stack, synth_records,
 ]

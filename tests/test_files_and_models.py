@@ -138,6 +138,31 @@ def test_text_features_like_smoothed_idf(spark):
         assert abs(value - (idf[term] / norm if term != "cc" else 0.0)) < 1e-9
 
 
+def test_medians_are_exact_and_all_fonts_have_a_slot(spark):
+    sizes = [1.0, 2.0, 4.0, 9.0, None, float("nan")]
+    df = spark.createDataFrame([("t", f"F{i % 4}", s) for i, s in enumerate(sizes)], "text string, font_name string, font_size double")
+    df = df.withColumns({c: F.lit(None).cast("double") for c in schemas.NUMERIC_FEATURES if c not in df.columns})
+    made = models.fit_features(models.model_rows(df)).transform(models.model_rows(df)).select("features").collect()
+    vectors = [r.features.toArray() for r in made]
+    # Four numbers are known; a column without one counts as 0.
+    assert sorted(v[0] for v in vectors) == [1.0, 2.0, 3.0, 3.0, 4.0, 9.0]
+    assert all(v[1:13].sum() == 0 for v in vectors)
+    # F0 and F1 twice, F2 and F3 once.
+    assert [int(v[13:17].argmax()) for v in vectors] == [0, 1, 2, 3, 0, 1]
+
+
+def test_rows_of_a_fit_are_bounded(spark):
+    df = spark.range(1000)
+    assert models.bounded(df, 1000).count() == 1000
+    assert 40 < models.bounded(df, 100).count() < 200
+
+
+def test_label_index(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "label string")
+    got = models.label_indexer(df.dropna(), "label").transform(df).collect()
+    assert [int(r[models.LABEL_INDEX]) for r in got] == [1, 0, 1, 2]
+
+
 def test_class_weight(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "label string")
     got = df.withColumn("w", models.class_weight(df, "label")).distinct().collect()
