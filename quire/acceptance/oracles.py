@@ -136,7 +136,10 @@ HEADINGS = """
 labelled AS (SELECT CAST(doc_id AS VARCHAR) AS doc FROM labels),
 truth AS (
   SELECT doc, (page_number - 1) * 40 + line_no AS pos, level, page_number AS page,
-         CASE line_no % 3 WHEN 0 THEN text WHEN 1 THEN left(text, length(text) - 1) ELSE ' ' || text || ' ' END AS text
+         CASE WHEN line_no % 5 = 2 THEN left(text, length(text) // 2) || '#' || substr(text, length(text) // 2 + 2)
+              WHEN line_no % 3 = 0 THEN text
+              WHEN line_no % 3 = 1 THEN left(text, length(text) - 1)
+              ELSE ' ' || text || ' ' END AS text
   FROM scored SEMI JOIN labelled USING (doc) WHERE level LIKE 'H%'
 ),
 truth_titles AS (
@@ -146,6 +149,58 @@ truth_titles AS (
   ) USING (doc)
 )"""
 
+# Common subsequences of the pairs (a, b) in ``hard``, row by row of the table of prefixes: a cell is
+# one more than its upper left neighbour where the characters agree, else the one above, and never
+# less than those to its left.
+SUBSEQUENCES = """
+lcs(a, b, i, cells) AS (
+  SELECT a, b, 0::BIGINT, list_transform(range(length(b)), lambda j: 0::BIGINT) FROM hard
+  UNION ALL
+  SELECT a, b, i, list_transform(range(1, length(b) + 1), lambda j: list_max(m[1:j])) FROM (
+    SELECT a, b, i + 1 AS i, list_transform(range(1, length(b) + 1), lambda j:
+      CASE WHEN substr(b, j, 1) = substr(a, i + 1, 1) THEN coalesce(cells[j - 1], 0) + 1 ELSE cells[j] END) AS m
+    FROM lcs WHERE i < length(a)
+  )
+)"""
+
+
+
+def _shared(side: str, a: str, b: str) -> str:
+    """How many characters two texts share at one end."""
+    return f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda j: {side}({a}, j) = {side}({b}, j)))"
+
+
+# Pairs of a line and a heading of its page, without the ends they share. A score above 95 needs fewer
+# edits than a twentieth of both lengths. If one text holds the other, or as many edits as the
+# lengths differ by suffice, the shorter one is a subsequence of the longer one; the rest is hard. The edit distance here counts bytes,
+# so one byte stands for any other character: that can only make it smaller.
+SIMILAR = f"""
+pairs AS MATERIALIZED (
+  SELECT l.doc, l.page_number, l.line_no, t.pos, t.level, l.text = t.text AS same,
+    CASE WHEN l.text <> t.text THEN l.text ELSE '' END AS a, CASE WHEN l.text <> t.text THEN t.text ELSE '' END AS b,
+    length(l.text) + length(t.text) AS total, abs(length(l.text) - length(t.text)) AS gap
+  FROM lines l JOIN truth t ON t.doc = l.doc AND t.page = l.page_number
+    AND (t.text = l.text OR 20 * abs(length(l.text) - length(t.text)) < length(l.text) + length(t.text))
+),
+started AS MATERIALIZED (SELECT *, {_shared("left", "a", "b")} AS p FROM pairs),
+cut AS MATERIALIZED (SELECT *, substr(a, p + 1) AS c, substr(b, p + 1) AS d FROM started),
+ended AS MATERIALIZED (SELECT *, {_shared("right", "c", "d")} AS e FROM cut),
+middles AS MATERIALIZED (SELECT * EXCLUDE (a, b, c, d), left(c, length(c) - e) AS a, left(d, length(d) - e) AS b FROM ended),
+edits AS MATERIALIZED (
+  SELECT *, levenshtein(regexp_replace(a, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(b, '[^\\x00-\\x7F]', '?', 'g')) AS edits
+  FROM middles
+),
+likely AS MATERIALIZED (
+  SELECT *, contains(a, b) OR contains(b, a) OR (edits = gap AND strlen(a || b) = length(a || b)) AS easy FROM edits WHERE same OR 20 * edits < total
+),
+hard AS MATERIALIZED (SELECT DISTINCT a, b FROM likely WHERE NOT easy),
+{SUBSEQUENCES},
+similar_lines AS (
+  SELECT p.*, CASE WHEN same THEN 100::DOUBLE
+    ELSE 200::DOUBLE * (CASE WHEN easy THEN (total - gap) // 2 ELSE p.p + p.e + coalesce(cells[length(p.b)], 0) END) / total END AS score
+  FROM likely p LEFT JOIN lcs ON NOT easy AND lcs.a = p.a AND lcs.b = p.b AND lcs.i = length(p.a)
+)"""
+
 EVALUATED = OUTLINES + "," + HEADINGS + f""",
 both_docs AS (SELECT doc FROM labelled INTERSECT SELECT doc FROM titles),
 truth_keys AS (
@@ -442,6 +497,13 @@ SELECT doc, CAST(to_json({{'title': title, 'outline':
   coalesce(list({{'level': level, 'text': text, 'page': page_number}} ORDER BY n) FILTER (WHERE level IS NOT NULL), [])}}) AS VARCHAR) AS json
 FROM titles LEFT JOIN heads USING (doc) GROUP BY doc, title""",
     "sections": f"WITH {SECTIONS} SELECT * FROM sections",
+    "label_lines": f"""WITH RECURSIVE {SCORED}, {HEADINGS}, {SIMILAR},
+best AS (
+  SELECT doc, page_number, line_no, level, row_number() OVER (PARTITION BY doc, page_number, line_no ORDER BY score DESC, pos) AS k
+  FROM similar_lines WHERE score > 95
+)
+SELECT doc, page_number, line_no, text, coalesce(level, 'Body') AS label
+FROM (SELECT doc, page_number, line_no, text FROM lines) LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (doc, page_number, line_no)""",
     "label_lines_exact": f"""WITH {SCORED}, {HEADINGS}
 SELECT l.doc, l.page_number, l.line_no, coalesce(arg_min(t.level, t.pos), 'Body') AS label
 FROM lines l LEFT JOIN truth t ON t.doc = l.doc AND t.page = l.page_number AND t.text = l.text
