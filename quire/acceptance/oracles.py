@@ -537,9 +537,13 @@ FROM scored_sums""",
 SELECT doc, 'truth' AS side, level, page, text FROM truth_keys ANTI JOIN output_keys USING (doc, level, page, text)
 UNION ALL
 SELECT doc, 'output' AS side, level, page, text FROM output_keys ANTI JOIN truth_keys USING (doc, level, page, text)""",
-    "confusion": """SELECT quality AS label, toxic AS predicted, count(*) AS n,
-  round(count(*) / sum(count(*)) OVER (PARTITION BY quality)::DOUBLE, 6) AS share
-FROM labels GROUP BY quality, toxic""",
+    "confusion": """WITH classes AS (SELECT quality AS c FROM labels UNION SELECT toxic FROM labels),
+cells AS (
+  SELECT t.c AS label, p.c AS predicted, count(quality) AS n
+  FROM classes t CROSS JOIN classes p LEFT JOIN labels ON quality = t.c AND toxic = p.c
+  GROUP BY t.c, p.c
+)
+SELECT label, predicted, n, coalesce(round(n / nullif(sum(n) OVER (PARTITION BY label), 0)::DOUBLE, 6), 0) AS share FROM cells""",
     "class_report": """WITH classes AS (SELECT quality AS c FROM labels UNION SELECT toxic FROM labels),
 counts AS (
   SELECT c, (SELECT count(*) FROM labels WHERE quality = c AND toxic = c)::DOUBLE AS hit,

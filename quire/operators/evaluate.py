@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import text as X
 from quire.functions.similarity import (
@@ -155,12 +155,19 @@ def eval_overall(by_document: DataFrame) -> DataFrame:
 
 
 def confusion(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
-    """Count of every (true, predicted) class pair and its share of the true class."""
+    """Count of every (true, predicted) pair of classes, empty ones too, and its share of the true
+    class, 0 where no row has that class. Classes are few; rows without one of the two are left out."""
     counts = predictions.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(
         F.count("*").alias("n")
     )
-    row = counts.groupBy("label").agg(F.sum("n").alias("row_n"))
-    return counts.join(row, "label").select("label", "predicted", "n", (F.col("n") / F.col("row_n")).alias("share"))
+    classes = counts.select(F.explode(F.array("label", "predicted")).alias("label")).dropna().distinct()
+    every = classes.agg(F.collect_set("label")).scalar()
+    cells = classes.withColumn("predicted", F.explode(every)).join(counts, ["label", "predicted"], "left")
+    n = F.coalesce("n", F.lit(0))
+    row = F.sum(n).over(Window.partitionBy("label"))
+    return cells.select(
+        "label", "predicted", n.alias("n"), F.when(row > 0, n / row).otherwise(F.lit(0.0)).alias("share")
+    )
 
 
 def class_report(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

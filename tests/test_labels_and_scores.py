@@ -163,6 +163,12 @@ def test_confusion_and_report(spark):
     df = spark.createDataFrame(list(zip(truth, guess)), "label string, predicted string")
     cells = {(r.label, r.predicted): (r.n, round(r.share, 3)) for r in evaluate.confusion(df).collect()}
     assert cells[("a", "a")] == (3, 0.6) and cells[("c", "b")] == (1, 0.5)
+    # A cell for every pair of classes, whether or not a row is in it.
+    assert len(cells) == 9 and cells[("a", "c")] == (0, 0.0)
+    unseen = spark.createDataFrame([("a", "z"), (None, "a")], "label string, predicted string")
+    assert sorted(map(tuple, evaluate.confusion(unseen).collect())) == [
+        ("a", "a", 0, 0.0), ("a", "z", 1, 1.0), ("z", "a", 0, 0.0), ("z", "z", 0, 0.0)]
+    assert evaluate.confusion(df.limit(0)).count() == 0
     report = {r["class"]: r for r in evaluate.class_report(df).collect()}
     assert (report["a"].precision, report["a"].recall, report["a"].support) == (0.6, 0.6, 5)
     assert (report["c"].precision, report["c"].recall, report["c"].f1) == (0.0, 0.0, 0.0)
