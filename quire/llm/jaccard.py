@@ -21,6 +21,9 @@ from quire.session import staged
 #: one segment of it.
 COUNTERS, SEGMENT = 1 << 20, 1 << 16
 
+#: 64-bit words of a set's parity bits.
+PARITY_WORDS = 16
+
 #: Odd multipliers of the orders and of the shingles.
 ODD = tuple(np.uint64(value) for value in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -110,6 +113,14 @@ def prefixes(shingles: np.ndarray, size: int, loads: np.ndarray) -> tuple[np.nda
     return first.view(np.int64), *others
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For each of the classes of a hash, whether the set has an odd number of shingles in it. Two
+    sets differ in at least as many shingles as their bits differ in places."""
+    classes = 64 * PARITY_WORDS
+    counts = np.bincount((mixed(shingles, 3) % np.uint64(classes)).astype(np.int64), minlength=classes)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 def similar_documents(
     docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -121,13 +132,16 @@ def similar_documents(
     fewer than ``words`` of them is one shingle. Equal sets are one class from the start, so copies
     are never paired. Of a class, the shingles that come first under a global order are its prefix;
     documents that link share one under every order. Candidates come from the order by frequency
-    (which keeps common passages out of prefixes) and must pass two random orders as well; the sets
-    of what is left are compared exactly.
+    (which keeps common passages out of prefixes) and must pass two random orders as well, and their
+    parity bits must not prove that the sets differ in too much; the sets of what is left are compared
+    exactly.
 
     Each prefix shingle first pairs its documents with one of them, the one that has it earliest.
     Where links then leave several components among a shingle's documents, those of different
     components are paired too, so no link that joins components is missed, and a group of many near
-    copies costs no pairs within what the first step has joined. No candidate is dropped otherwise.
+    copies costs no pairs within what the first step has joined. These pairs meet the parity bits in
+    the join itself: of documents that are almost similar to a large group, few pairs come out of it.
+    No candidate is dropped otherwise.
 
     Null and empty texts have no shingles, link with nothing and are their own component; null ids
     are the smallest id and stay null. Rows that share an id count as one document. Other columns
@@ -158,11 +172,13 @@ def similar_documents(
     # What is left of a shingle without its center, where that is in several components.
     others = tokens.join(centers.select("token", "x"), "token").where(F.col("doc_id") != F.col("x")).drop("x")
     several = others.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    left = staged(others.join(several.select("token"), "token", "left_semi"), "left")
-    one = left.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "root")])
+    left = others.join(several.select("token"), "token", "left_semi")
+    left = staged(left.join(first.select("doc_id", "parity"), "doc_id"), "left")
+    one = left.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "root", "parity")])
     rest = one.join(left, "token").where(
         (F.col("doc_id_x") < F.col("doc_id")) & (F.col("root_x") != F.col("root"))
         & _possible(F.col("n"), F.col("i"), F.col("n_x"), F.col("i_x"), share)
+        & _close(F.col("n"), F.col("parity"), F.col("n_x"), F.col("parity_x"), share)
     ).select(F.col("doc_id_x").alias("x"), F.col("doc_id").alias("y")).distinct()
     links = links.union(staged(_verified(own, first, rest, words, share), "links"))
 
@@ -174,25 +190,25 @@ def similar_documents(
     ).withColumn("component_id", shown("component_id"))
 
 
-PREFIXES = "doc_id long, n long, digest binary, a array<long>, b array<int>, c array<int>"
+PREFIXES = "doc_id long, n long, digest binary, a array<long>, b array<int>, c array<int>, parity array<long>"
 
 
 def _prefix_rows(words: int, share: tuple[int, int], loads):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("text"), words)
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for own in sets:
             if len(own):
                 size = len(own) - -(-len(own) * share[0] // share[1]) + 1
-                found = [blake2b(own.tobytes(), digest_size=16).digest(), *prefixes(own, size, loads.value)]
+                found = [blake2b(own.tobytes(), digest_size=16).digest(), *prefixes(own, size, loads.value), parity_bits(own)]
             else:
-                found = [None, None, None, None]
+                found = [None, None, None, None, None]
             for column, value in zip(columns, found):
                 column.append(value)
-        kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
         counts = pa.array([len(own) for own in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, *arrays], names=["doc_id", "n", "digest", "a", "b", "c"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, *arrays], names=["doc_id", "n", "digest", "a", "b", "c", "parity"])
 
     return run
 
@@ -204,13 +220,20 @@ def _possible(n: Column, i: Column, nx: Column, ix: Column, share: tuple[int, in
     return least * (share[0] + share[1]) >= (n + nx) * share[0]
 
 
+def _close(n: Column, bits: Column, nx: Column, bits_x: Column, share: tuple[int, int]) -> Column:
+    """Whether parity bits leave it open that two sets are similar. They never rule out sets that are."""
+    differ = sum((F.bit_count(bits[at].bitwiseXOR(bits_x[at])) for at in range(PARITY_WORDS)), F.lit(0))
+    return differ * (share[0] + share[1]) <= (n + nx) * (share[1] - share[0])
+
+
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (``x``, ``y``) that pass the other orders and whose sets are similar."""
+    """The pairs (``x``, ``y``) that pass the other orders and parity bits and whose sets are similar."""
     def side(name: str) -> DataFrame:
-        return first.select(F.col("doc_id").alias(name), F.col("b").alias(f"b{name}"), F.col("c").alias(f"c{name}"))
+        return first.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "b", "c", "parity")])
 
     passed = pairs.join(side("x"), "x").join(side("y"), "y").where(
-        F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")
+        F.arrays_overlap("b_x", "b_y") & F.arrays_overlap("c_x", "c_y")
+        & _close(F.col("n_x"), F.col("parity_x"), F.col("n_y"), F.col("parity_y"), share)
     )
     passed = staged(passed.select("x", "y").distinct(), "candidates")
     wanted = passed.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()

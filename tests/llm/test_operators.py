@@ -407,6 +407,24 @@ def test_shingles_of_blanks():
     assert sets[0][0] == sets[1][0] and sets[4][0] == sets[5][0] != sets[6][0]
 
 
+def test_parity_bits_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in [1, 2, 9, 60, 60, 400, 5000]:
+        for gone in (0, 1, size // 10, size // 5, size // 2, size):
+            x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            y = np.unique(np.append(x[gone:], rng.integers(0, 2**64, rng.integers(0, gone + 1), np.uint64)))
+            both = len(np.intersect1d(x, y))
+            bits = [jaccard.parity_bits(own).tolist() for own in (x, y)]
+            differ = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(*bits))
+            assert differ <= len(x) + len(y) - 2 * both
+            rows.append((len(x), bits[0], len(y), bits[1], 100 * both >= 80 * (len(x) + len(y) - both)))
+    df = spark.createDataFrame(rows, "n long, bits array<long>, nx long, bits_x array<long>, similar boolean")
+    close = df.select("similar", "n", jaccard._close(*(F.col(c) for c in df.columns[:4]), (80, 100)).alias("close")).collect()
+    assert all(r.close for r in close if r.similar) and any(r.similar for r in close)
+    assert not all(r.close for r in close if not r.similar and r.n == 60)
+
+
 def test_components_of_chains(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201), (201, 200)]
