@@ -71,12 +71,20 @@ def scan(text: str, threshold: float = 0.9) -> list[tuple[str, int, int]]:
         start, end = match
         if any(a < end and start < b for a, b in base):
             continue
-        value = text[start:end]
-        if novelty(value, text[max(0, start - AROUND):start], text[end:end + AROUND]) >= threshold:
+        if novelty(text[start:end], *_around(text, start, end)) >= threshold:
             spans.append((start, len(BASE), end))
     return [(KINDS[order], start, end) for start, order, end in sorted(spans)]
 
 
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """What stands before and after a stretch, without copies of it: a secret that a text holds
+    twice is no less of one."""
+    value, reach = text[start:end], AROUND + end - start
+    before = text[max(0, start - reach):start].replace(value, "")
+    after = text[end:end + reach].replace(value, "")
+    return before[-AROUND:], after[:AROUND]
+
+
 def _candidates(text: str) -> list[tuple[int, int]]:
     """Long runs with a digit and a letter, soon after a sensitive word."""
     if not DIGIT.search(text):
@@ -123,6 +131,7 @@ def find_secrets(
     The kinds ``assign``, ``access`` and ``hex`` are fixed patterns, leftmost and not overlapping
     within a kind. ``novel`` are other strings soon after a sensitive word that the primed
     compressor can't shorten below ``threshold`` bytes a character; they overlap no other span.
+    Copies of a string nearby don't count as known: each is looked at without the others.
     Null and empty texts have no spans (a redacted null stays null). Rows stay as they are; columns
     of the new names are replaced.
     """

@@ -252,6 +252,16 @@ def test_novelty_falls_with_what_is_known():
     assert secret_scan.novelty("aaaaaaaaaaaaaaaa1111", "bearer ", "") < 0.9
 
 
+def test_secrets_that_stand_twice(spark):
+    rng = random.Random(12)
+    for size in (20, 40, 56):
+        secret = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=size))
+        for gap in ("", "x " * 100, "x " * (256 - size // 4)):  # the last lets the window's edge cut a copy
+            text = f"Authorization: Bearer {secret}\n{gap}curl -H 'Authorization: Bearer {secret}' and bearer {secret}\n"
+            row = secret_scan.find_secrets(spark.createDataFrame([(text,)], "text string"), redacted="clean").first()
+            assert [text[s.start:s.end] for s in row.spans] == [secret] * 3 and secret not in row.clean, (size, len(gap))
+
+
 def test_languages(spark):
     rng = random.Random(3)
     letters = {"aa": "abcdeo", "bb": "mnopue", "cc": "rstuvi"}
