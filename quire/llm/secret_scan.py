@@ -43,20 +43,30 @@ IDENTIFIERS = (
 #: Characters before a candidate in which a sensitive word must be, and those that prime.
 NEAR, AROUND = 48, 512
 
+#: Most bytes that are compressed together: so few that the compressor finds known runs only. It
+#: would code the letters of 64 and more by their frequency and make random ones shorter, too.
+STRETCH = 48
+
 
 def novelty(candidate: str, before: str, after: str) -> float:
     """The bytes that the candidate adds to its surroundings, as a share of its length.
 
     The compressor is primed with the identifiers and what stands around; the candidate's cost is
-    what it takes beyond a run of as many bytes that the dictionary holds already."""
+    what it takes beyond a run of as many bytes that the dictionary holds already. A long candidate
+    is cut evenly into stretches of at most ``STRETCH`` bytes, and the newest of them counts."""
     primed = zstandard.ZstdCompressionDict(
         IDENTIFIERS + after.encode() + b"\n" + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
     )
     press = zstandard.ZstdCompressor(
         level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False
     )
-    data = candidate.encode()
-    return max(0, len(press.compress(data)) - len(press.compress(b""))) / max(len(data), 1)
+    data, nothing = candidate.encode(), len(press.compress(b""))
+    parts = max(1, -(-len(data) // STRETCH))
+    cuts = [len(data) * at // parts for at in range(parts + 1)]
+    return max(
+        max(0, len(press.compress(data[start:end])) - nothing) / max(end - start, 1)
+        for start, end in zip(cuts, cuts[1:])
+    )
 
 
 def scan(text: str, threshold: float = 0.9) -> list[tuple[str, int, int]]:
@@ -131,7 +141,8 @@ def find_secrets(
     The kinds ``assign``, ``access`` and ``hex`` are fixed patterns, leftmost and not overlapping
     within a kind. ``novel`` are other strings soon after a sensitive word that the primed
     compressor can't shorten below ``threshold`` bytes a character; they overlap no other span.
-    Copies of a string nearby don't count as known: each is looked at without the others.
+    Copies of a string nearby don't count as known: each is looked at without the others. Long ones
+    are measured in stretches, so that length alone makes nothing known.
     Null and empty texts have no spans (a redacted null stays null). Rows stay as they are; columns
     of the new names are replaced.
     """

@@ -262,6 +262,25 @@ def test_secrets_that_stand_twice(spark):
             assert [text[s.start:s.end] for s in row.spans] == [secret] * 3 and secret not in row.clean, (size, len(gap))
 
 
+ALPHABETS = [
+    "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+]
+
+
+def test_length_makes_no_string_known(spark):
+    rng = random.Random(13)
+    for alphabet in ALPHABETS:
+        for size in [*range(16, 130), 200, 400, 1000]:
+            assert secret_scan.novelty("".join(rng.choices(alphabet, k=size)), "auth ", "") >= 0.9, (alphabet, size)
+    for known in ("ab" * 300, "aaaaaaaaaaaaaaaa1111" * 20, "client_secret/configuration/" * 20):
+        assert secret_scan.novelty(known, "auth ", "") < 0.9
+    long = ["a1" + "".join(rng.choices(alphabet, k=size)) for alphabet in ALPHABETS[1:] for size in (64, 128, 400)]
+    texts = [(f"Authorization: Bearer {value} and so on",) for value in long]
+    for row, value in zip(secret_scan.find_secrets(spark.createDataFrame(texts, "text string"), redacted="clean").collect(), long):
+        assert row.clean == "Authorization: Bearer [novel removed] and so on", value
+
+
 def test_languages(spark):
     rng = random.Random(3)
     letters = {"aa": "abcdeo", "bb": "mnopue", "cc": "rstuvi"}
