@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.batches import NO_ID, known
 
-#: A text is cut into units: runs without blanks, in stretches of at most four characters.
+#: A text is cut into units: runs without blanks, in stretches of at most four characters. Copies
+#: that start elsewhere in a longer run are cut elsewhere; dense fingerprints have no such bound.
 UNIT = r"[^\x20\x09-\x0D]{1,4}"
 
 #: Units of a gram, and grams of a window (a power of two). Texts that share a stretch of
-#: ``GRAM + WINDOW - 1`` units share a fingerprint entry of it.
+#: ``GRAM + WINDOW - 1`` units, cut alike, share a fingerprint entry of it.
 GRAM, WINDOW = 3, 16
 
+#: Characters of a gram and grams of a window (both powers of two) where grams are taken at every
+#: character. Texts whose blank-free forms share a stretch of ``CHARACTERS + REACH - 1`` characters
+#: share an entry of it, wherever it starts in them.
+CHARACTERS, REACH = 8, 32
+
+BLANKS = r"[\x20\x09-\x0D]+"
+
 #: Rows of a bucket of neighbouring ids, and the most buckets.
 BUCKET, MOST_BUCKETS = 512, 16_384
 
@@ -46,12 +56,42 @@ def with_fingerprint(docs: DataFrame, text: str, marks: str) -> DataFrame:
     return docs.withColumn(marks, F.array_distinct(h)).drop(h)
 
 
+def with_dense_fingerprint(docs: DataFrame, text: str, marks: str) -> DataFrame:
+    """``docs`` with ``marks`` like those of ``with_fingerprint``, but of a gram of ``CHARACTERS`` code
+    points at every code point of the text without its blanks; places count these code points.
+
+    Unlike units, which count from the start of a run, such grams don't depend on where a shared
+    stretch starts in its run. A text of fewer than ``CHARACTERS`` code points is one gram.
+    """
+    u, h, n = f"_{marks}_u", f"_{marks}_h", f"_{marks}_n"
+    docs = docs.withColumn(u, F.regexp_replace(F.col(text), BLANKS, "")).withColumn(n, F.length(u))
+    docs = docs.withColumn(h, F.split(u, "")).drop(u)  # an empty text gives one empty string, cut off by n
+    reach = 1
+    while reach < CHARACTERS // 2:  # the hash of twice as many, from that of so many and of as many behind
+        behind = F.slice(F.col(h), F.lit(reach + 1), F.col(n))
+        docs = docs.withColumn(h, F.zip_with(h, behind, lambda a, b: F.hash(a, b)))
+        reach *= 2
+    docs = docs.withColumnRenamed(h, u)
+    grams = F.greatest(F.col(n) - (CHARACTERS - 1), F.least(F.col(n), F.lit(1)))
+    docs = docs.withColumn(h, F.transform(
+        F.slice(F.col(u), F.lit(1), grams),
+        lambda half, i: F.shiftleft(F.hash(half, F.get(F.col(u), i + reach)).cast("long"), 32)
+        .bitwiseOR(F.lit(2**32 - 1) - i),
+    )).drop(u).withColumn(n, grams)
+    reach = 1
+    while reach < REACH:  # as in with_fingerprint; what windows beyond the end keep is cut off below
+        ahead = F.concat(F.array_repeat(F.lit(None).cast("long"), reach), F.col(h))
+        docs = docs.withColumn(h, F.zip_with(h, ahead, lambda a, b: F.least(a, b)))
+        reach *= 2
+    return docs.withColumn(marks, F.array_distinct(F.slice(F.col(h), F.lit(1), F.col(n)))).drop(h, n)
+
+
 def hashes(marks: Column) -> Column:
     return F.array_distinct(F.transform(marks, lambda mark: F.shiftright(mark, 32).cast("int")))
 
 
 def places(marks: Column) -> Column:
-    """The places of the marks' grams, in units from the start of the text."""
+    """The places of the marks' grams, in units (or characters) from the start of the text."""
     return F.transform(marks, lambda mark: F.lit(2**32 - 1) - mark.bitwiseAND(F.lit(2**32 - 1)))
 
 
@@ -69,10 +109,13 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(one, other)) / union)
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    fingerprint: Callable[[DataFrame, str, str], DataFrame] = with_fingerprint,
+) -> DataFrame:
     """``doc_id`` and ``text`` of every row (null texts empty) with its ``marks`` and those and the
     text of the next row, ``next_text`` and ``next_marks``, by descending id; after the last comes
-    the first.
+    the first. ``fingerprint`` makes the marks.
 
     Rows with one id are in order of their texts, null ids are the smallest. Ids are cut into
     buckets of about ``BUCKET`` neighbours by their quantiles (at most ``MOST_BUCKETS``, which are
@@ -87,7 +130,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     own = own.withColumn("bucket", _bucket(F.col("doc_id"), edges))
     ordered = W.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("text"))
     own = own.withColumn("next_text", F.lead("text").over(ordered))
-    own = with_fingerprint(own, "text", "marks").withColumn("next_marks", F.lead("marks").over(ordered))
+    own = fingerprint(own, "text", "marks").withColumn("next_marks", F.lead("marks").over(ordered))
     tops = (
         docs.select(known(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         .withColumn("bucket", _bucket(F.col("doc_id"), edges))
@@ -102,7 +145,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         tops.select("doc_id", "text").join(F.broadcast(after.select(F.col("top").alias("doc_id"), F.col("bucket").alias("of"))), "doc_id")
         .groupBy("of").agg(F.max("text").alias("first_text"))
     )
-    first = with_fingerprint(first, "first_text", "first_marks")
+    first = fingerprint(first, "first_text", "first_marks")
     joined = own.join(first, own["bucket"] == first["of"], "left")
     return joined.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", "marks",

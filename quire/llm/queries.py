@@ -33,12 +33,12 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text and of the text whose second half the next one's start replaces."""
-    pairs = fingerprints.with_next(documents(spark, folder))
+    pairs = fingerprints.with_next(documents(spark, folder), fingerprint=fingerprints.with_dense_fingerprint)
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half))
     pairs = pairs.withColumn("edited", edited).drop("next_text")
-    pairs = fingerprints.with_fingerprint(pairs, "edited", "edited_marks")
+    pairs = fingerprints.with_dense_fingerprint(pairs, "edited", "edited_marks")
     for name in ("marks", "next_marks", "edited_marks"):
         pairs = pairs.withColumn(f"h_{name}", fingerprints.hashes(F.col(name)))
     return pairs.select(

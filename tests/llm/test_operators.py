@@ -148,6 +148,31 @@ def test_fingerprints_rightmost_least(spark):
     assert kept == expected
 
 
+def test_fingerprints_meet_at_every_shift(spark, tmp_path):
+    from quire.llm.queries import op3_fingerprints
+
+    rng = random.Random(14)
+    for at, alphabet in enumerate(("ACGT", "abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", "".join(map(chr, range(0x4E00, 0x4F00))), "a😀é1")):
+        passage = "".join(rng.choices(alphabet, k=200))
+        starts = ["".join(rng.choices(alphabet, k=shift)) for shift in range(14)]
+        texts = [start + passage for start in starts] + [passage[:100] + "~" + passage[100:], " \n".join(passage)]
+        folder = str(tmp_path / str(at))
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        found = {
+            r.doc_id: {(h, int(place, 16)) for h, place in (mark.split("@") for mark in r.fingerprint.split(","))}
+            for r in op3_fingerprints(spark, folder).collect()
+        }
+        least = fingerprints.CHARACTERS + fingerprints.REACH - 1
+        inner = {(h, place) for h, place in found[0] if place >= fingerprints.REACH}
+        for shift in range(14):  # but for windows that hold what comes before, the same entries
+            moved = {(h, place - shift) for h, place in found[shift]}
+            assert inner <= moved and {mark for mark in moved if mark[1] >= fingerprints.REACH} <= found[0], (alphabet, shift)
+        for cut in range(200 - least + 1):  # every stretch of that length shares an entry
+            assert any(cut <= place <= cut + least - fingerprints.CHARACTERS for _, place in found[0])
+        assert {(h, place - 1) for h, place in found[14] if place > 100 + fingerprints.REACH} <= found[0]
+        assert found[15] == found[0]
+
+
 def junk(rng, words):
     kind = rng.randint(0, 2)
     if kind == 0:
