@@ -82,14 +82,16 @@ def fit(
 ) -> dict[str, np.ndarray]:
     """The model: term weights, a latent-semantic basis, and unit vectors of labelled documents.
 
-    Learnt from at most ``examples`` labelled rows, those with the smallest hashes of their ids;
+    Learnt from at most ``examples`` labelled rows of ``docs``, those with the smallest hashes of their ids;
     this is the bound on what the driver holds and broadcasts (``examples`` times ``dimensions``
     numbers, and ``TERMS`` times ``dimensions``). Rows with a null id or label don't take part; the
     label of an id that is labelled twice is the larger one.
     """
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     picked = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("int").alias("label"))
+        .join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     )
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

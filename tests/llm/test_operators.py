@@ -202,6 +202,12 @@ def test_quality_held_out(spark):
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
 
 
+def test_quality_labels_without_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(20)], "doc_id long, text string")
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert len(quality.fit(docs, labels, examples=20)["labels"]) == 20
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(4)
     model = {"basis": np.eye(5, dtype=np.float32), "vectors": quality._unit(rng.normal(size=(40, 5))), "labels": rng.integers(0, 2, 40).astype(np.float32)}
