@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quire.llm import bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, quality, secret_scan
+from quire.llm import (
+    bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, periodic, quality, secret_scan,
+)
 from quire.llm.batches import documents
 
 
@@ -118,9 +120,26 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, folder), words=3, share=(90, 100))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every text, a tenth of which end in a repetition."""
+    docs = periodic.with_echo(documents(spark, folder).select("doc_id", "text"))
+    found = periodic.find_runs(docs, collapsed="collapsed").drop("text")
+    # Greatest length first, then smallest start and period.
+    longest = F.array_max(F.transform("runs", lambda run: F.struct(
+        run["length"].alias("length"), (-run["start"]).alias("start"), (-run["period"]).alias("period"),
+    )))
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        _sha256(F.array_join(lines, "")).alias("runs_sha256"), _sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = (
     op1_byte_bpe, op2_line_dedup, op3_fingerprints, op4_quality, op5_exact_dedup, op6_secret_scan, op7_language,
-    op8_chat_format, op9_packing, op10_ngram_jaccard,
+    op8_chat_format, op9_packing, op10_ngram_jaccard, op13_periodic_runs,
 )
 
 ORACLES = {
