@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.llm import (
-    bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, periodic, quality, secret_scan,
+    bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, periodic, quality, secret_scan, whitening,
 )
 from quire.llm.batches import documents
 
@@ -120,6 +120,18 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, folder), words=3, share=(90, 100))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings on the 16 leading components of their distinct whole-number vectors, whitened."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.lit([float(value) / model.trace for value in model.values] or [0.0])
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.count).cast("long").alias("n"), "deviation",
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in every text, a tenth of which end in a repetition."""
     docs = periodic.with_echo(documents(spark, folder).select("doc_id", "text"))
@@ -139,7 +151,8 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = (
     op1_byte_bpe, op2_line_dedup, op3_fingerprints, op4_quality, op5_exact_dedup, op6_secret_scan, op7_language,
-    op8_chat_format, op9_packing, op10_ngram_jaccard, op13_periodic_runs,
+    op8_chat_format, op9_packing, op10_ngram_jaccard, op11_whitening,
+    op13_periodic_runs,
 )
 
 ORACLES = {
