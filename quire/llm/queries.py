@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.llm import (
-    bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, periodic, quality, secret_scan, whitening,
+    bpe, chat, exact_dedup, fingerprints, jaccard, language, line_dedup, neighbours, packing, periodic, quality, secret_scan, whitening,
 )
 from quire.llm.batches import documents
 
@@ -132,6 +132,12 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest others of every twentieth embedding."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in every text, a tenth of which end in a repetition."""
     docs = periodic.with_echo(documents(spark, folder).select("doc_id", "text"))
@@ -152,7 +158,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = (
     op1_byte_bpe, op2_line_dedup, op3_fingerprints, op4_quality, op5_exact_dedup, op6_secret_scan, op7_language,
     op8_chat_format, op9_packing, op10_ngram_jaccard, op11_whitening,
-    op13_periodic_runs,
+    op12_neighbours, op13_periodic_runs,
 )
 
 ORACLES = {
