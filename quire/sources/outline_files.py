@@ -1,4 +1,4 @@
-"""Outline JSON files, one object per document, in either dialect."""
+"""Outline JSON, one object per document, in either dialect and in files of one or of many."""
 
 from __future__ import annotations
 
@@ -6,25 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quire import schemas
 from quire.functions import text as X
-from quire.sources.json_text import BAD_RECORD, parsed, source_file
+from quire.sources.json_text import BAD_RECORD, parsed
+from quire.sources.objects import read_objects
+from quire.sources.object_files import OneFileEach
 
 
 def read_outlines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(outlines keyed by document, records that could not be read).
 
-    A file holds one object, named by its ``doc`` field or else by the file's stem, or one object on
-    each line, as ``write_outlines`` makes them; those need the field, since they share a stem.
+    A document's name is its ``doc`` field or, where an object is all that its file holds, the file's
+    stem. Files may hold many objects, on a line each or over many; see ``read_objects``. One that
+    can't be read, or has no name, comes back as a record with its file and costs no other.
     """
-    files = spark.read.text(path, wholetext=True).select("value", source_file().alias("file"))
-    lines = F.filter(F.split("value", "\r?\n", -1), lambda l: F.length(F.trim(l)) > 0)
-    objects = F.forall(lines, lambda l: F.trim(l).startswith("{") & F.trim(l).endswith("}"))
-    several = (F.size(lines) > 1) & objects
-    records = files.select("file", several.alias("_several"), F.explode(
-        F.when(several, lines).otherwise(F.array("value"))
-    ).alias("value"))
+    objects = read_objects(spark, path).withColumn("record", F.col("value"))
     schema = T.StructType([T.StructField("doc", T.StringType()), *schemas.OUTLINE_FILE.fields])
-    named = F.coalesce("doc", F.when(~F.col("_several"), X.file_stem(F.col("file"))))
-    raw = parsed(records.withColumn("record", F.col("value")), schema).withColumn("doc", named)
+    named = F.coalesce("doc", F.when(F.col("whole"), X.file_stem(F.col("file"))))
+    raw = parsed(objects, schema).withColumn("doc", named)
     good = F.col(BAD_RECORD).isNull() & F.col("doc").isNotNull()
     return raw.filter(good).select("doc", *schemas.OUTLINE_FILE.fieldNames()), raw.filter(~good).select("file", "record")
 
@@ -64,3 +61,13 @@ def outline_json(outlines: DataFrame) -> DataFrame:
 def write_outlines(outlines: DataFrame, path: str) -> None:
     """JSON lines, one object per document with its name."""
     outlines.select("doc", "title", "outline").write.mode("overwrite").json(path)
+
+
+def write_outline_files(outlines: DataFrame, path: str) -> None:
+    """A file ``<doc>.json`` for each document, with its title and outline; see ``OneFileEach`` for
+    names that can't be a file's. Such objects hold the name as ``doc``, so that it is read back."""
+    outlines.sparkSession.dataSource.register(OneFileEach)
+    named = F.struct("doc", "title", "outline")
+    plain = F.struct("title", "outline")
+    text = F.when(F.col("doc").rlike(OneFileEach.PLAIN), F.to_json(plain)).otherwise(F.to_json(named))
+    outlines.select(F.col("doc").alias("name"), text.alias("value")).write.format(OneFileEach.name()).mode("overwrite").save(path)
