@@ -112,6 +112,11 @@ titles AS (
 
 OUTLINES = CLAMPED + "," + TITLES
 
+SHOWN_OUTLINES = f"""WITH RECURSIVE {OUTLINES}
+SELECT doc, title, CAST(count(level) AS INTEGER) AS n,
+  coalesce(string_agg(level || '|' || page_number || '|' || text, chr(10) ORDER BY n), '') AS entries
+FROM titles LEFT JOIN heads USING (doc) GROUP BY doc, title"""
+
 SECTIONS = DEMOTED_B + f""",
 marked AS (
   SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_number, line_no) AS n,
@@ -488,10 +493,26 @@ SELECT doc, page_number, line_no, level FROM near
 WHERE NOT (level <> 'Body' AND coalesce(lower(text) = text_before AND page_number = page_before, false))""",
     "document_titles": f"WITH RECURSIVE {OUTLINES} SELECT doc, title FROM titles",
     "outline_headings": f"WITH RECURSIVE {CLAMPED} SELECT doc, page_number, line_no, level, text FROM heads",
-    "outlines": f"""WITH RECURSIVE {OUTLINES}
-SELECT doc, title, CAST(count(level) AS INTEGER) AS n,
-  coalesce(string_agg(level || '|' || page_number || '|' || text, chr(10) ORDER BY n), '') AS entries
-FROM titles LEFT JOIN heads USING (doc) GROUP BY doc, title""",
+    "outlines": SHOWN_OUTLINES,
+    "outline_stream": SHOWN_OUTLINES,
+    "outline_document_files": SHOWN_OUTLINES,
+    "fallback_outlines": f"""WITH {LINES},
+largest AS (
+  SELECT doc, arg_max(text, [font_size, -line_no]) AS largest FROM lines WHERE page_number = 1 AND NOT {DIGITS} GROUP BY doc
+)
+SELECT doc, coalesce(largest, 'Untitled Document') AS title, 0 AS n, '' AS entries
+FROM (SELECT DISTINCT doc FROM lines) LEFT JOIN largest USING (doc)""",
+    "corpus_listing": "SELECT 'doc ' || doc_id || '.v1' AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents",
+    "request_reader": """
+SELECT conv_id || '-' || turn AS request_id, CASE WHEN good THEN CASE WHEN turn % 3 <> 0 THEN role ELSE 'User' END END AS persona,
+  CASE WHEN good THEN text END AS task, CASE WHEN good THEN conv_id || '-' || turn END AS first_document,
+  CASE WHEN good THEN 'read' WHEN turn % 7 = 6 THEN 'unreadable' ELSE 'no task' END AS verdict
+FROM (SELECT *, turn % 7 <> 6 AND turn % 5 <> 4 AND coalesce(length(text) > 0, false) AS good FROM conversations)""",
+    "labelled_csv": f"""
+SELECT CAST(doc_id AS INTEGER) AS page_number, coalesce(CASE WHEN doc_id % 7 <> 0 THEN ' "a", ' || text || chr(10) || chr(10) || ' b' || chr(9) END, '') AS text,
+  coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, '') AS font_name, CAST(8.0 + (length(text) % 5) * 1.5 AS DOUBLE) AS font_size,
+  {word_count("text")} AS word_count, CAST(length(text) AS INTEGER) AS char_count, 0 AS is_bold, 'q' || quality || 't' || toxic AS label
+FROM documents JOIN labels USING (doc_id)""",
     "outline_objects": f"""WITH RECURSIVE {OUTLINES}
 SELECT doc, CAST(to_json({{'title': title, 'outline':
   coalesce(list({{'level': level, 'text': text, 'page': page_number}} ORDER BY n) FILTER (WHERE level IS NOT NULL), [])}}) AS VARCHAR) AS json

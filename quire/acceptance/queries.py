@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,9 +13,9 @@ from quire.operators import (
     evaluate, labeling, layout, models, outline, retrieval, rules, sampling, sections as sections_,
 )
 from quire.plans import jobs
-from quire.profiles import SECTION_PROFILE
-from quire.session import settled
-from quire.sources import outline_files, pages, records, requests as request_files
+from quire.profiles import BODY, SECTION_PROFILE
+from quire.session import settled, shared_folder
+from quire.sources import datasets, object_files, outline_files, pages, records, requests as request_files
 
 LINE = ["doc", "page_number", "line_no"]
 BASE_DATE = "2025-07-01"
@@ -108,11 +110,13 @@ def outline_headings(spark: SparkSession, folder: str) -> DataFrame:
     return outline.outline_entries(I.cleaned_lines(spark, folder))
 
 
-def outlines(spark: SparkSession, folder: str) -> DataFrame:
+def _shown_outlines(found: DataFrame) -> DataFrame:
     shown = F.transform("outline", lambda e: F.concat_ws("|", e["level"], e["page"].cast("string"), e["text"]))
-    return I.found_outlines(spark, folder).select(
-        "doc", "title", F.size("outline").alias("n"), F.array_join(shown, "\n").alias("entries")
-    )
+    return found.select("doc", "title", F.size("outline").alias("n"), F.array_join(shown, "\n").alias("entries"))
+
+
+def outlines(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_outlines(I.found_outlines(spark, folder))
 
 
 def outline_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,6 +127,79 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return I.found_sections(spark, folder)
 
 
+def fallback_outlines(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of an outline without a classifier: a title by size, no headings."""
+    lines = pages.text_features(I.plain_lines(spark, folder))
+    return _shown_outlines(jobs.outlines_from_scored(lines.withColumn("level", F.lit(BODY))))
+
+
+# Files written and read again
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def outline_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Outlines through files of many objects, each over many lines."""
+    path = _new_folder(spark, "outline-stream")
+    objects = F.to_json(F.struct("doc", "title", "outline"), {"pretty": "true"})
+    I.found_outlines(spark, folder).select(objects.alias("value")).write.text(path)
+    return _shown_outlines(outline_files.read_outlines(spark, path)[0])
+
+
+def outline_document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Outlines through one file for each document."""
+    path = _new_folder(spark, "outline-files")
+    outline_files.write_outline_files(I.found_outlines(spark, folder), path)
+    return _shown_outlines(outline_files.read_outlines(spark, path)[0])
+
+
+def corpus_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and sizes of files that hold a document's text each."""
+    path = _new_folder(spark, "corpus")
+    spark.dataSource.register(object_files.OneFileEach)
+    texts = I.table(spark, folder, "documents").select(F.concat(F.lit("doc "), "doc_id", F.lit(".v1")).alias("name"), F.col("text").alias("value"))
+    texts.write.format(object_files.OneFileEach.name()).mode("overwrite").save(path)
+    listed = pages.list_corpus(spark, path, "*.json")
+    name = F.url_decode(F.replace(X.file_stem(F.col("path")), F.lit("+"), F.lit("%2B")))
+    return listed.select(name.alias("name"), F.col("length").alias("bytes"))
+
+
+def request_reader(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as request files, a third without a role, read back as requests and rejects."""
+    path = _new_folder(spark, "requests")
+    spark.dataSource.register(object_files.OneFileEach)
+    turns = I.table(spark, folder, "conversations").withColumn("name", F.concat_ws("-", "conv_id", "turn"))
+    role = F.when(F.col("turn") % 3 != 0, F.col("role"))
+    request = F.to_json(F.struct(
+        F.array(F.struct(F.col("name").alias("filename"), F.col("role").alias("title"))).alias("documents"),
+        F.struct(role.alias("role")).alias("persona"),
+        F.struct(F.when(F.col("turn") % 5 != 4, F.col("text")).alias("task")).alias("job_to_be_done"),
+    ))
+    cut = F.when(F.col("turn") % 7 == 6, F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    turns.withColumn("value", request).select("name", cut.alias("value")).write.format(object_files.OneFileEach.name()).mode("overwrite").save(path)
+    good, rejects = request_files.read_requests(spark, path)
+    return good.select(
+        "request_id", "persona", "task", F.col("documents")[0]["filename"].alias("first_document"), F.lit("read").alias("verdict")
+    ).unionByName(rejects.select(
+        "request_id", F.lit(None).cast("string").alias("persona"), F.lit(None).cast("string").alias("task"),
+        F.lit(None).cast("string").alias("first_document"), F.col("reason").alias("verdict"),
+    ))
+
+
+def labelled_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows through CSV, texts with quotes, blanks and line breaks, some missing."""
+    path = _new_folder(spark, "labelled-csv")
+    rows = I.labelled_documents(spark, folder).withColumns({
+        "page_number": F.col("doc_id").cast("int"),
+        "text": F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit(' "a", '), "text", F.lit("\n\n b\t"))),
+        "font_name": F.when(F.col("doc_id") % 5 != 0, F.col("font_name")),
+    })
+    datasets.write_labelled(rows, path)
+    read = datasets.read_labelled(spark, path)
+    return read.select("page_number", "text", "font_name", "font_size", "word_count", "char_count", "is_bold", "label")
+
+
 # Labels and samples
 
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -375,6 +452,7 @@ QUERIES = [
     page_quantiles, body_size, relative_size, neighbor_gaps,
     rule_demote_a, rule_demote_b, level_clamp, adjacent_dedupe,
     document_titles, outline_headings, outlines, outline_objects, sections,
+    fallback_outlines, outline_stream, outline_document_files, corpus_listing, request_reader, labelled_csv,
     label_lines, label_lines_exact, label_counts, value_share, balance_body, stratified_split,
     eval_documents, eval_documents_exact, eval_metrics, eval_missed, eval_missed_fuzzy, confusion, class_report,
     manifest_found, manifest_missing, request_queries, retrieval_texts, cosine_topk, diverse_topk,
