@@ -224,6 +224,80 @@ counted AS (
   FROM both_docs b JOIN truth_titles tt USING (doc) JOIN titles t USING (doc)
 )"""
 
+# Ratcliff-Obershelp ratios of the unequal texts (a, b) of which neither is too short: the longest
+# common block (first in a, then in b), and the same left and right of it, until nothing is common.
+# Blocks are stretches of a diagonal, cut to the rectangle that is left. From 200 characters on, those
+# of which b has more than a hundredth, and one, don't begin or prolong a block; they widen a found one,
+# or the empty one at the start.
+RATCLIFF = """
+unlike AS MATERIALIZED (
+  SELECT DISTINCT a, b FROM to_match WHERE a <> b AND 2 * least(length(a), length(b)) > 0.85 * (length(a) + length(b))
+),
+left_side AS (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM unlike),
+right_side AS (SELECT a, b, unnest(range(1, length(b) + 1)) AS j FROM unlike),
+right_chars AS (
+  SELECT *, length(b) >= 200 AND count(*) OVER (PARTITION BY a, b, c) > length(b) // 100 + 1 AS common
+  FROM (SELECT *, substr(b, j, 1) AS c FROM right_side)
+),
+cells AS MATERIALIZED (
+  SELECT l.a, l.b, l.i, l.i - r.j AS d, common FROM left_side l JOIN right_chars r ON l.a = r.a AND l.b = r.b AND substr(l.a, l.i, 1) = r.c
+),
+wide AS MATERIALIZED (
+  SELECT a, b, d, min(i) AS i, max(i) + 1 AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS island FROM cells
+  ) GROUP BY a, b, d, island
+),
+narrow AS MATERIALIZED (
+  SELECT a, b, d, min(i) AS i, max(i) + 1 AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY a, b, d ORDER BY i) AS island FROM cells WHERE NOT common
+  ) GROUP BY a, b, d, island
+),
+blocks(a, b, alo, ahi, blo, bhi, i, j, e) AS (
+  SELECT a, b, 1::BIGINT, length(a) + 1, 1::BIGINT, length(b) + 1, 0::BIGINT, 0::BIGINT, -1::BIGINT FROM unlike
+  UNION ALL
+  SELECT f.a, f.b, f.alo, f.ahi, f.blo, f.bhi, greatest(w.i, f.alo, f.blo + w.d), greatest(w.i, f.alo, f.blo + w.d) - w.d,
+         least(w.e, f.ahi, f.bhi + w.d)
+  FROM (
+    SELECT s.a, s.b, s.alo, s.ahi, s.blo, s.bhi, coalesce(max([
+      least(n.e, s.ahi, s.bhi + n.d) - greatest(n.i, s.alo, s.blo + n.d),
+      -greatest(n.i, s.alo, s.blo + n.d), -(greatest(n.i, s.alo, s.blo + n.d) - n.d)
+    ]), [0, -s.alo, -s.blo]) AS best
+    FROM (
+      SELECT a, b, alo, ahi, blo, bhi FROM blocks WHERE e = -1
+      UNION ALL SELECT a, b, alo, i, blo, j FROM blocks WHERE e > 0
+      UNION ALL SELECT a, b, e, ahi, j + e - i, bhi FROM blocks WHERE e > 0
+    ) s LEFT JOIN narrow n ON n.a = s.a AND n.b = s.b
+      AND least(n.e, s.ahi, s.bhi + n.d) > greatest(n.i, s.alo, s.blo + n.d)
+    WHERE s.alo < s.ahi AND s.blo < s.bhi
+    GROUP BY s.a, s.b, s.alo, s.ahi, s.blo, s.bhi
+  ) f JOIN wide w ON w.a = f.a AND w.b = f.b AND w.d = f.best[3] - f.best[2] AND w.i <= -f.best[2] AND w.e > -f.best[2]
+),
+alike AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a, b, sum(e - i) AS matched FROM blocks WHERE e > 0 GROUP BY a, b)
+  WHERE 2.0::DOUBLE * matched / (length(a) + length(b)) > 0.85::DOUBLE
+  UNION ALL SELECT DISTINCT a, b FROM to_match WHERE a = b
+)"""
+
+FUZZY = EVALUATED + f""",
+met AS (
+  SELECT doc, level, page, t.text AS a, o.text AS b FROM truth_keys t JOIN output_keys o USING (doc, level, page)
+),
+title_pairs AS (
+  SELECT doc, {strip("lower(tt.title)")} AS a, {strip("lower(t.title)")} AS b
+  FROM both_docs JOIN truth_titles tt USING (doc) JOIN titles t USING (doc)
+),
+to_match AS MATERIALIZED (SELECT a, b FROM met UNION SELECT a, b FROM title_pairs),
+{RATCLIFF},
+pairs_found AS MATERIALIZED (SELECT met.* FROM met SEMI JOIN alike USING (a, b)),
+found_keys AS MATERIALIZED (
+  SELECT DISTINCT doc, 'truth' AS side, level, page, a AS text FROM pairs_found
+  UNION ALL SELECT DISTINCT doc, 'output', level, page, b FROM pairs_found
+),
+all_keys AS (
+  SELECT doc, 'truth' AS side, level, page, text FROM truth_keys
+  UNION ALL SELECT doc, 'output', level, page, text FROM output_keys
+)"""
+
 REQUESTS = """
 asked AS (
   SELECT conv_id || '-' || turn AS request_id, conv_id, role AS persona, text AS task FROM conversations
@@ -558,6 +632,18 @@ FROM scored_sums""",
 SELECT doc, 'truth' AS side, level, page, text FROM truth_keys ANTI JOIN output_keys USING (doc, level, page, text)
 UNION ALL
 SELECT doc, 'output' AS side, level, page, text FROM output_keys ANTI JOIN truth_keys USING (doc, level, page, text)""",
+    "eval_documents": f"""WITH RECURSIVE {FUZZY},
+sums AS (
+  SELECT doc, count(*) FILTER (side = 'truth') AS n_truth, count(*) FILTER (side = 'output') AS n_output FROM all_keys GROUP BY doc
+),
+hits AS (
+  SELECT doc, count(*) FILTER (side = 'truth') AS n_truth, count(*) FILTER (side = 'output') AS n_output FROM found_keys GROUP BY doc
+)
+SELECT doc, s.a IS NOT NULL AS title_correct, coalesce(hits.n_truth, 0) AS tp,
+  coalesce(sums.n_output, 0) - coalesce(hits.n_output, 0) AS fp, coalesce(sums.n_truth, 0) - coalesce(hits.n_truth, 0) AS fn
+FROM title_pairs p LEFT JOIN alike s USING (a, b) LEFT JOIN sums USING (doc) LEFT JOIN hits USING (doc)""",
+    "eval_missed_fuzzy": f"""WITH RECURSIVE {FUZZY}
+SELECT doc, side, level, page, text FROM all_keys ANTI JOIN found_keys USING (doc, side, level, page, text)""",
     "confusion": """WITH classes AS (SELECT quality AS c FROM labels UNION SELECT toxic FROM labels),
 cells AS (
   SELECT t.c AS label, p.c AS predicted, count(quality) AS n

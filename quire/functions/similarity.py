@@ -1,7 +1,7 @@
 """Two string similarities and the native bounds that keep them off most pairs.
 
 ``indel``       100 * 2*LCS / (len a + len b)
-``ratcliff``    matching-block ratio of ``difflib``
+``ratcliff``    matching-block ratio of ``difflib``, its rule for frequent characters included
 
 Both are at most the indel ratio, and lev <= len a + len b - 2*LCS, so a pair above ratio r has
 lev < (1 - r) * (len a + len b). Levenshtein with that threshold runs in the JVM; only survivors
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -57,8 +58,105 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if a == b else 100.0 * 2 * common_subsequence(a, b) / total
 
 
+# From so many characters of the second text on, those that are more than this share
+# of it (and one) begin and prolong no block; they only widen one that is found.
+JUNK_FROM, JUNK_SHARE = 200, 100
+
+#: So many steps of ``difflib`` for each character cost less than an automaton of them.
+FEW_STEPS = 24
+
+
+class Automaton:
+    """The suffix automaton of a text: every stretch of it is a path, and a state knows where its
+    stretches end first. Characters in ``skipped`` are on no path."""
+
+    def __init__(self, text: str, skipped: frozenset[str]) -> None:
+        self.paths: list[dict[str, int]] = [{}]
+        self.link, self.size, self.ends = [-1], [0], [-1]
+        last = 0
+        for at, ch in enumerate(text):
+            last = 0 if ch in skipped else self._after(last, ch, at)
+
+    def _state(self, paths: dict[str, int], link: int, size: int, end: int) -> int:
+        self.paths.append(paths)
+        self.link.append(link)
+        self.size.append(size)
+        self.ends.append(end)
+        return len(self.size) - 1
+
+    def _after(self, last: int, ch: str, at: int) -> int:
+        paths, link, size = self.paths, self.link, self.size
+        known = paths[last].get(ch)
+        if known is not None and size[known] == size[last] + 1:
+            return known
+        if known is not None:
+            return self._copy(last, known, ch)
+        new = self._state({}, 0, size[last] + 1, at)
+        while last >= 0 and ch not in paths[last]:
+            paths[last][ch] = new
+            last = link[last]
+        if last >= 0:
+            onto = paths[last][ch]
+            link[new] = onto if size[onto] == size[last] + 1 else self._copy(last, onto, ch)
+        return new
+
+    def _copy(self, last: int, onto: int, ch: str) -> int:
+        """A state for the shorter stretches of ``onto``, which also end elsewhere."""
+        copy = self._state(dict(self.paths[onto]), self.link[onto], self.size[last] + 1, self.ends[onto])
+        self.link[onto] = copy
+        while last >= 0 and self.paths[last].get(ch) == onto:
+            self.paths[last][ch] = copy
+            last = self.link[last]
+        return copy
+
+    def longest(self, text: str) -> tuple[int, int, int]:
+        """Start in ``text``, start in the automaton's text and length of the longest stretch that both
+        have, the first in ``text`` and then in the other."""
+        paths, link, size = self.paths, self.link, self.size
+        state = length = 0
+        best = (0, 0, 0)
+        for at, ch in enumerate(text):
+            while state and ch not in paths[state]:
+                state = link[state]
+                length = size[state]
+            if ch in paths[state]:
+                state = paths[state][ch]
+                length += 1
+                if length > best[2]:
+                    best = (at - length + 1, self.ends[state] - length + 1, length)
+        return best
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of two texts: the longest common block, and those left and
+    right of it, as ``difflib`` finds them, but in time that grows with a text and not its square."""
+    n, counts = len(b), Counter(b)
+    skipped = frozenset(ch for ch, k in counts.items() if n >= JUNK_FROM and k > n // JUNK_SHARE + 1)
+    total, todo = 0, [(0, len(a), 0, n)]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo >= ahi or blo >= bhi:
+            continue
+        i, j, size = Automaton(b[blo:bhi], skipped).longest(a[alo:ahi])
+        i, j = i + alo, j + blo  # the starts, where nothing is found; these may be widened, too
+        end = i + size
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        while end < ahi and j + end - i < bhi and a[end] == b[j + end - i]:
+            end += 1
+        if end > i:
+            total += end - i
+            todo += [(alo, i, blo, j), (end, ahi, j + end - i, bhi)]
+    return total
+
+
 def ratcliff_ratio(a: str, b: str) -> float:
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    left, right = Counter(a), Counter(b)
+    if sum(k * right[ch] for ch, k in left.items()) <= FEW_STEPS * (len(a) + len(b)):
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matched(a, b) / (len(a) + len(b))
 
 
 def is_near(a: str, b: str, threshold: float) -> bool:

@@ -1,10 +1,13 @@
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
+import duckdb
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from quire.acceptance.oracles import RATCLIFF
 from quire.functions import similarity as M, spans as S, text as X, vectors as V
 from tests import sequential
 
@@ -138,3 +141,45 @@ def test_bounds_never_lose_a_pair(spark):
         near = F.array_contains(M.neighbouring_bands(F.col("b"), ratio), M.length_band(F.col("a"), ratio))
         for a, b, kept in df.select("a", "b", (near & M.may_exceed("a", "b", ratio)).alias("kept")).collect():
             assert kept or score(a, b) <= ratio, (a, b)
+
+
+def edited_pair(rng):
+    """Two texts, most of them alike but for some edits, over alphabets of few and of many letters."""
+    letters = rng.choice(["ab", "abc", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz ", "aaab"])
+    size = rng.choice([0, 1, 5, 30, 120, 199, 200, 201, 260, 450])
+    a = "".join(rng.choices(letters, k=rng.randint(0, size)))
+    if rng.random() < 0.4:
+        return a, "".join(rng.choices(letters, k=rng.randint(0, size)))
+    b = list(a)
+    for _ in range(rng.randint(0, 12)):
+        at = rng.randint(0, len(b))
+        if rng.random() < 0.5:
+            b[at:at] = rng.choices(letters, k=rng.randint(1, 4))
+        else:
+            del b[at:at + rng.randint(1, 5)]
+    return a, "".join(b)
+
+
+def test_matching_blocks_like_difflib():
+    rng = random.Random(1)
+    for _ in range(4000):
+        a, b = edited_pair(rng)
+        library = SequenceMatcher(None, a, b)
+        assert M.matched(a, b) == sum(block.size for block in library.get_matching_blocks()), (a, b)
+        assert M.ratcliff_ratio(a, b) == library.ratio()
+    long = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(20_000))
+    began = time.time()
+    assert M.matched(long, long[:9000] + long[9500:]) == 19_500
+    assert M.matched("ab" * 50_000, "ab" * 25_000 + "x" + "ab" * 25_000) == 50_000  # frequent characters only
+    assert time.time() - began < 20
+
+
+def test_sql_of_matching_blocks_like_difflib():
+    rng = random.Random(3)
+    pairs = sorted({edited_pair(rng) for _ in range(150)})
+    near = [(a, b) for a, b in pairs if SequenceMatcher(None, a, b).ratio() > 0.85]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE to_match (a VARCHAR, b VARCHAR)")
+    connection.executemany("INSERT INTO to_match VALUES (?, ?)", pairs)
+    found = connection.execute(f"WITH RECURSIVE {RATCLIFF.lstrip()} SELECT DISTINCT a, b FROM alike").fetchall()
+    assert sorted(found) == near and 20 < len(near) < len(pairs)

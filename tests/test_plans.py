@@ -68,7 +68,7 @@ def test_entry(spark):
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = {name for name in entry.queries() if not name.startswith("op") and name != "pipeline"}
-    assert own - set(entry.oracle_sql()) - {"outlines", "outline_headings", "outline_objects"} == {"eval_documents", "eval_missed_fuzzy", "train_stack"}
+    assert own - set(entry.oracle_sql()) - {"outlines", "outline_headings", "outline_objects"} == {"train_stack"}
 
 
 @pytest.mark.parametrize("name", [
