@@ -48,10 +48,19 @@ def test_top_candidates_are_cut_before_the_shuffle(spark):
 
 
 def test_samples_do_not_move_rows(spark):
+    """In the whole plan, subqueries included, nothing but counts is shuffled."""
     labels = I.table(spark, SMALL, "labels")
-    text = plan(sampling.balance(labels, F.col("doc_id"), label="quality", body=1))
-    main = text.split("Subquery")[0]
-    assert "Exchange" not in main and "Sort" not in main
+    for df in (
+        sampling.balance(labels, F.col("doc_id"), label="quality", body=1),
+        sampling.with_split(labels, "quality", F.col("doc_id")),
+    ):
+        text = plan(df)
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and "CartesianProduct" not in text
+        lines = [re.sub(r"^[\s:|*+\-()0-9]*", "", line) for line in text.splitlines()]
+        shuffles = [lines[at + 1] for at, line in enumerate(lines) if line.startswith("Exchange")]
+        assert len(shuffles) >= 8
+        for child in shuffles:  # partial counts, or what became of counts
+            assert re.match(r"(Object|Sort)?HashAggregate|SortAggregate", child), child
 
 
 def test_no_query_plans_a_cross_join(spark):
