@@ -15,7 +15,8 @@ PAGES_PER_BLOCK = 1024
 
 
 def by_block(lines: DataFrame) -> DataFrame:
-    """Lines clustered by document and page block: the only shuffle of line rows."""
+    """Lines clustered by document and page block. What runs on it shuffles no further line rows; each
+    plan that starts from unclustered lines shuffles them here once for each of its branches."""
     if "page_block" in lines.columns:
         return lines
     block = F.floor(F.col("page_number") / PAGES_PER_BLOCK).cast("int")

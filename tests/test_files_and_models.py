@@ -96,7 +96,7 @@ def trained(spark):
     df = spark.createDataFrame(rows, "id int, text string, font_size double, font_name string, x_position double, label string")
     zeros = [c for c in schemas.NUMERIC_FEATURES if c not in df.columns]
     df = df.withColumns({c: F.lit(0) for c in zeros})
-    plan = models.TrainingPlan(terms=50, fonts=8, deep=3, shallow=2, rounds=2, trees=5, meta_rounds=30)
+    plan = models.TrainingPlan(terms=50, fonts=8, deep=3, shallow=2, rounds=2, meta_rounds=30)
     model, held_out = jobs.training_job(df, F.col("id"), plan)
     return df, model, held_out
 
