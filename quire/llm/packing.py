@@ -29,14 +29,16 @@ class Coder(WordCoder):
     Words of common letters are encoded, many at a time, by the same merges in a faster library;
     all else by the tokenizer itself."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, special_as_text: bool = False) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [token.content for token in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         letters = byte_letters()
         ranks = {
             bytes(letters[letter] for letter in token): at
@@ -47,6 +49,14 @@ class Coder(WordCoder):
         self.first = np.zeros(max(ranks.values()) + 1, bool)
         self.first[[at for token, at in ranks.items() if token[:1] == b" "]] = True
 
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Texts that hold a special token's string are encoded whole: it is a token of its own."""
+        apart = [at for at, text in enumerate(texts) if self.special and self.special.search(text)]
+        found = super()._together(["" if at in set(apart) else text for at, text in enumerate(texts)] if apart else texts)
+        for at, ids in zip(apart, self.whole([texts[at] for at in apart])):
+            found[at] = ids
+        return found
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
@@ -78,20 +88,22 @@ def byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def coder(model: str) -> Coder:
+def coder(model: str, special_as_text: bool = False) -> Coder:
     """One for each worker process and tokenizer."""
-    return Coder(model)
+    return Coder(model, special_as_text)
 
 
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, doc_id: str = "doc_id",
-    text: str = "text",
+    text: str = "text", special_as_text: bool = False,
 ) -> DataFrame:
     """The token ids of every whole text and then ``end_id``, cut into pieces of at most
     ``capacity``: all but the last of a document are full.
 
     One row for each piece: ``doc_id``, ``start`` (ids of its document before it), ``length``,
-    ``ids_crc32`` of its ids as little-endian unsigned 32-bit numbers, and ``doc_tokens``. Null
+    ``ids_crc32`` of its ids as little-endian unsigned 32-bit numbers, and ``doc_tokens``. The string of
+    a special token in a text is that token, as in the library's own call; with ``special_as_text`` it
+    is ordinary text, so that no text can fake a boundary. Null
     texts count as empty and have the end id alone; repeated rows are documents of their own; null
     ids stay null. Other columns are left out.
     """
@@ -100,7 +112,7 @@ def token_pieces(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        encoded = coder(model.value).encode(texts_of(batch, "text"))
+        encoded = coder(model.value, special_as_text).encode(texts_of(batch, "text"))
         for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded):
             ids += end
             total = len(ids) // 4
@@ -178,13 +190,17 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     ``capacity`` tokens, gapless from 0, and are numbered without gaps.
 
     ``pieces`` needs ``doc_id``, ``start`` and ``length`` (1 to ``capacity``; others fail the job);
-    more columns pass through. Null and repeated ids are pieces like others, ranked in any order
-    among rows that are all the same. The driver holds one count for each length and one row for
+    more columns pass through, whatever their names (``sequence_id`` and ``offset`` are replaced). Null
+    and repeated ids are pieces like others. The driver holds one count for each length and one row for
     each place of a pattern, whatever the number of pieces; the pieces of a length are ranked in
     blocks, so that a length which most pieces have is no single task.
     """
     spark = pieces.sparkSession
-    pieces = staged(pieces, "pieces")
+    # Rows travel whole under one name, so no column of theirs meets one of these; the salt parts rows
+    # that share an id and is stored, so that each reading has the same.
+    salt = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    names = [name for name in pieces.columns if name not in ("sequence_id", "offset")]
+    pieces = staged(pieces.select("length", salt.alias("salt"), F.struct(*names).alias("row")), "pieces")
     histogram = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= (length or 0) <= capacity for length in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
@@ -196,16 +212,16 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         "length long, first_rank long, last_rank long, sequence long, offset long",
     )
     cut = pieces.join(F.broadcast(blocks), "length").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks"))
+        "block", F.pmod(F.col("salt"), F.col("blocks"))
     )
     sizes = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = W.partitionBy("length", "block").orderBy("doc_id", "start")
+    within = W.partitionBy("length", "block").orderBy("salt")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     at = F.broadcast(place.withColumnRenamed("length", "of"))
     found = (ranked["length"] == at["of"]) & ranked["rank"].between(at["first_rank"], at["last_rank"])
     return ranked.join(at, found).select(
-        *pieces.columns, (F.col("sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset",
+        "row.*", (F.col("sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset",
     )
