@@ -11,6 +11,9 @@ START, END, NEXT = "<|im_start|>", "<|im_end|>", "<|im_next|>"
 #: The role whose texts are under the loss mask.
 LEARNT = "assistant"
 
+#: A line break in a role, which would end it.
+BREAK = "<|nl|>"
+
 #: Every mark begins with MARK. In roles and texts ``<|`` and ``<\`` are written with one backslash
 #: after the ``<``, so no mark can come out of a text, and taking that backslash away undoes it.
 MARK = "<|"
@@ -30,7 +33,7 @@ def format_turns(
     """One row for each conversation: ``conv_id`` and ``formatted``.
 
     Turns come by ``turn``, those with equal or null numbers by role and text, null numbers first.
-    Null roles and texts count as empty, a null ``conv_id`` is a conversation, rows that are
+    Line breaks in roles get a mark of their own. Null roles and texts count as empty, a null ``conv_id`` is a conversation, rows that are
     repeated are turns of their own, and other columns are left out. A conversation is one row of
     the result, so its turns meet in one task.
     """
@@ -38,14 +41,14 @@ def format_turns(
         F.col(conv_id).alias("conv_id"),
         F.struct(
             F.col(turn).cast("long").alias("turn"),
-            F.regexp_replace(F.coalesce(F.col(role), F.lit("")), "\n", " ").alias("role"),
+            F.coalesce(F.col(role), F.lit("")).alias("role"),
             F.coalesce(F.col(text), F.lit("")).alias("text"),
         ).alias("turn"),
     )
     sorted_turns = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     at = F.transform("turns", lambda t, i: F.struct(
         (F.coalesce(F.get("turns", i - 1)["role"] == t["role"], F.lit(False))).alias("same"),
-        escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"),
+        F.replace(escaped(t["role"]), F.lit("\n"), F.lit(BREAK)).alias("role"), escaped(t["text"]).alias("text"),
     ))
     merged = F.transform("turns", lambda t: F.concat(
         F.when(t["same"], F.lit(NEXT)).otherwise(F.concat(F.lit(f"{END}\n{START}"), t["role"], F.lit("\n"))), t["text"],
@@ -67,7 +70,7 @@ def read_turns(formatted: DataFrame, column: str = "formatted") -> DataFrame:
 
 def _turns(message: Column) -> Column:
     line = F.instr(message, "\n")
-    role = F.substring(message, F.lit(1), line - 1)
+    role = F.replace(F.substring(message, F.lit(1), line - 1), F.lit(BREAK), F.lit("\n"))
     texts = F.substring(message, line + 1, F.length(message) - line - len(END) - 1)
     return F.transform(F.split(texts, r"<\|im_next\|>", -1), lambda t: F.struct(
         unescaped(role).alias("role"), unescaped(t).alias("text"),

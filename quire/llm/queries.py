@@ -202,14 +202,15 @@ WITH turns AS (
     UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), ordered AS (
     SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM role AS same,
-        regexp_replace(text, '<(\\*\|)', '<\\\1', 'g') AS written
+        regexp_replace(text, '<(\\*\|)', '<\\\1', 'g') AS written,
+        replace(regexp_replace(role, '<(\\*\|)', '<\\\1', 'g'), chr(10), '<|nl|>') AS written_role
     FROM turns
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(length(written) + CASE WHEN same THEN 11 ELSE 12 + length(role) + 1 + 11 END)::BIGINT AS formatted_chars
+    sum(length(written) + CASE WHEN same THEN 11 ELSE 12 + length(written_role) + 1 + 11 END)::BIGINT AS formatted_chars
 FROM ordered GROUP BY conv_id
 """,
 }
