@@ -190,6 +190,35 @@ def similar_documents(
     ).withColumn("component_id", shown("component_id"))
 
 
+def similar_pairs(
+    docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text",
+) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (``pairs``, ``members``). ``pairs`` has every link between different sets once,
+    as the smallest ids ``x`` < ``y`` of the two classes of equal sets; ``members`` has ``class`` and
+    ``doc_id`` of every row with shingles, so copies are not expanded into pairs.
+
+    Shingles, null and empty texts, and ids are as in ``similar_documents``. Prefixes under three orders
+    and parity bits are the filters here, too, but every pair that passes them is compared: the result
+    has no shorter way than its own size. A prefix shingle that very many classes share is a join key
+    that Spark splits where adaptive execution is on.
+    """
+    own = docs.select(known(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    loads = shared(docs.sparkSession, frequencies(own, words))
+    rows = staged(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
+    classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
+    first = rows.join(classes, (rows["digest"] == classes["digest"]) & (rows["doc_id"] == classes["class"]), "left_semi")
+    first = staged(first.dropDuplicates(["digest"]), "first")
+    tokens = first.select("doc_id", "n", "parity", F.posexplode("a").alias("i", "token"))
+    one = tokens.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "parity")])
+    pairs = one.join(tokens, "token").where(
+        (F.col("doc_id_x") < F.col("doc_id")) & _possible(F.col("n"), F.col("i"), F.col("n_x"), F.col("i_x"), share)
+        & _close(F.col("n"), F.col("parity"), F.col("n_x"), F.col("parity_x"), share)
+    ).select(F.col("doc_id_x").alias("x"), F.col("doc_id").alias("y")).distinct()
+    links = _verified(own, first, pairs, words, share).select(shown("x").alias("x"), shown("y").alias("y"))
+    members = rows.join(classes, "digest").select(shown("class").alias("class"), shown("doc_id").alias("doc_id"))
+    return links, members
+
+
 PREFIXES = "doc_id long, n long, digest binary, a array<long>, b array<int>, c array<int>, parity array<long>"
 
 

@@ -569,3 +569,40 @@ def test_components_of_chains(spark):
     got = {r.id: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_jaccard_pairs_are_all_links(spark):
+    """Every link, those within a component too, against a comparison of all sets."""
+    rng = random.Random(31)
+    base = [rng.randrange(10**6) for _ in range(120)]
+    texts = []
+    for _ in range(60):  # one group in which nearly all link
+        own = base.copy()
+        own[rng.randrange(120)] = rng.randrange(10**6)
+        texts.append(" ".join(map(str, own)))
+    for _ in range(40):
+        own = base.copy()
+        for at in rng.sample(range(120), 12):  # almost similar to the group
+            own[at] = rng.randrange(10**6)
+        texts.append(" ".join(map(str, own)))
+    texts += [" ".join(str(rng.randrange(50)) for _ in range(rng.randint(0, 30))) for _ in range(60)] + texts[:5] + ODD_TEXTS
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, members = jaccard.similar_pairs(df)
+    sets = {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+        if shingles:
+            sets.setdefault(frozenset(shingles), []).append(doc)
+    wanted = set()
+    keys = sorted(sets, key=lambda own: sets[own][0])
+    for at, a in enumerate(keys):
+        for b in keys[at + 1:]:
+            if len(a & b) * 100 >= len(a | b) * 80:
+                wanted.add((sets[a][0], sets[b][0]))
+    got = [tuple(row) for row in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 1500
+    assert sorted(map(tuple, members.collect())) == sorted((docs[0], doc) for docs in sets.values() for doc in docs)
+    links, members = jaccard.similar_pairs(empty_table(spark))
+    assert links.collect() == [] and members.collect() == []
