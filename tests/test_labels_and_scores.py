@@ -141,10 +141,10 @@ def test_balance_is_exact_and_repeatable(spark, rows):
     assert rows(sampling.balance(labelled(spark, 50, 0), F.col("id"))) == []
 
 
-def test_coarse_histogram_gives_the_same_sample(spark, rows, monkeypatch):
+def test_any_number_of_passes_gives_the_same_sample(spark, rows, monkeypatch):
     df = labelled(spark, 2000, 300)
     fine = rows(sampling.balance(df, F.col("id")))
-    monkeypatch.setattr(sampling, "DIGITS", 1)
+    monkeypatch.setattr(sampling, "PASSES", 1)
     assert rows(sampling.balance(df, F.col("id"))) == fine
 
 
