@@ -25,7 +25,10 @@ from quire.plans.jobs import (
 from quire.profiles import OUTLINE_PROFILE, SECTION_PROFILE, Profile
 from quire.session import local_session, settled
 from quire.sources.datasets import read_labelled, write_labelled
-from quire.sources.outline_files import as_outline_files, outline_json, read_outlines, truth_entries, write_outlines
+from quire.sources.objects import read_objects
+from quire.sources.outline_files import (
+    as_outline_files, outline_json, read_outlines, truth_entries, write_outline_files, write_outlines,
+)
 from quire.sources.pages import (
     feature_lines, lines_from_html, lines_from_page_trees, lines_from_pages, lines_from_text, list_corpus, page_counts,
     pages_from_text, pages_from_trees, read_page_trees, spans_from_page_trees, text_features,
