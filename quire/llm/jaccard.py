@@ -30,6 +30,14 @@ ODD = tuple(np.uint64(value) for value in (
 ))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``staged``, after which Spark may delete the shuffle files that the writing needed: it does when
+    the driver collects its garbage, which may otherwise be long after the next ones are written."""
+    found = staged(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
 def mixed(keys: np.ndarray, order: int) -> np.ndarray:
     """A permutation of the 64-bit numbers for each order."""
     keys = (keys ^ keys >> np.uint64(31)) * ODD[order % len(ODD)]
@@ -150,19 +158,19 @@ def similar_documents(
     own = docs.select(known(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     loads = shared(spark, frequencies(own, words))
-    rows = staged(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
-    classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
+    rows = stored(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
+    classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     first = rows.join(classes, (rows["digest"] == classes["digest"]) & (rows["doc_id"] == classes["class"]), "left_semi")
     tokens = first.select("doc_id", "n", F.posexplode("a").alias("i", "token"))
 
     centers = tokens.groupBy("token").agg(
         F.min(F.struct("i", "n", "doc_id")).alias("center"), F.count("*").alias("members")
     ).where("members > 1").select("token", F.col("center.doc_id").alias("x"), F.col("center.n").alias("nx"), F.col("center.i").alias("ix"))
-    centers = staged(centers, "centers")
+    centers = stored(centers, "centers")
     star = tokens.join(centers, "token").where(
         (F.col("doc_id") != F.col("x")) & _possible(F.col("n"), F.col("i"), F.col("nx"), F.col("ix"), share)
     ).select("x", F.col("doc_id").alias("y")).distinct()
-    links = staged(_verified(own, first, star, words, share), "links")
+    links = stored(_verified(own, first, star, words, share), "links")
 
     joined = components(links)
     tokens = (
@@ -173,14 +181,14 @@ def similar_documents(
     others = tokens.join(centers.select("token", "x"), "token").where(F.col("doc_id") != F.col("x")).drop("x")
     several = others.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     left = others.join(several.select("token"), "token", "left_semi")
-    left = staged(left.join(first.select("doc_id", "parity"), "doc_id"), "left")
+    left = stored(left.join(first.select("doc_id", "parity"), "doc_id"), "left")
     one = left.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "root", "parity")])
     rest = one.join(left, "token").where(
         (F.col("doc_id_x") < F.col("doc_id")) & (F.col("root_x") != F.col("root"))
         & _possible(F.col("n"), F.col("i"), F.col("n_x"), F.col("i_x"), share)
         & _close(F.col("n"), F.col("parity"), F.col("n_x"), F.col("parity_x"), share)
     ).select(F.col("doc_id_x").alias("x"), F.col("doc_id").alias("y")).distinct()
-    links = links.union(staged(_verified(own, first, rest, words, share), "links"))
+    links = links.union(stored(_verified(own, first, rest, words, share), "links"))
 
     roots = components(links)
     found = rows.select("doc_id", "n", "digest").join(classes, "digest", "left")
@@ -204,10 +212,10 @@ def similar_pairs(
     """
     own = docs.select(known(doc_id).alias("doc_id"), F.col(text).alias("text"))
     loads = shared(docs.sparkSession, frequencies(own, words))
-    rows = staged(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
-    classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
+    rows = stored(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
+    classes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     first = rows.join(classes, (rows["digest"] == classes["digest"]) & (rows["doc_id"] == classes["class"]), "left_semi")
-    first = staged(first.dropDuplicates(["digest"]), "first")
+    first = stored(first.dropDuplicates(["digest"]), "first")
     tokens = first.select("doc_id", "n", "parity", F.posexplode("a").alias("i", "token"))
     one = tokens.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "parity")])
     pairs = one.join(tokens, "token").where(
@@ -264,7 +272,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, s
         F.arrays_overlap("b_x", "b_y") & F.arrays_overlap("c_x", "c_y")
         & _close(F.col("n_x"), F.col("parity_x"), F.col("n_y"), F.col("parity_y"), share)
     )
-    passed = staged(passed.select("x", "y").distinct(), "candidates")
+    passed = stored(passed.select("x", "y").distinct(), "candidates")
     wanted = passed.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     bits = min(1 << 28, max(1 << 20, 1 << (16 * passed.count()).bit_length()))
     held = shared(docs.sparkSession, id_filter(wanted, bits))
@@ -277,7 +285,7 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, s
             pa.array([own.view(np.int64) for own in found], pa.list_(pa.int64())),
         ], names=["doc_id", "digest", "shingles"])
 
-    own = staged(
+    own = stored(
         mapped(docs, sets, "doc_id long, digest binary, shingles array<long>")
         .join(first.select("doc_id", "digest").join(wanted, "doc_id", "left_semi"), ["doc_id", "digest"], "left_semi").drop("digest"),
         "sets",
