@@ -191,16 +191,15 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     ``pieces`` needs ``doc_id``, ``start`` and ``length`` (1 to ``capacity``; others fail the job);
     more columns pass through, whatever their names (``sequence_id`` and ``offset`` are replaced). Null
-    and repeated ids are pieces like others. The driver holds one count for each length and one row for
+    and repeated ids are pieces like others; rows that are the same in all columns share a block. The driver holds one count for each length and one row for
     each place of a pattern, whatever the number of pieces; the pieces of a length are ranked in
     blocks, so that a length which most pieces have is no single task.
     """
     spark = pieces.sparkSession
-    # Rows travel whole under one name, so no column of theirs meets one of these; the salt parts rows
-    # that share an id and is stored, so that each reading has the same.
-    salt = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    # Rows travel whole under one name, so no column of theirs meets one of these. The salt is of all
+    # that a row holds: it parts rows that share an id and is the same however rows are dealt out.
     names = [name for name in pieces.columns if name not in ("sequence_id", "offset")]
-    pieces = staged(pieces.select("length", salt.alias("salt"), F.struct(*names).alias("row")), "pieces")
+    pieces = staged(pieces.select("length", F.xxhash64(*names).alias("salt"), F.struct(*names).alias("row")), "pieces")
     histogram = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= (length or 0) <= capacity for length in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
@@ -217,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     sizes = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = W.partitionBy("length", "block").orderBy("salt")
+    within = W.partitionBy("length", "block").orderBy("salt", "row.doc_id", "row.start")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     at = F.broadcast(place.withColumnRenamed("length", "of"))
