@@ -25,6 +25,14 @@ def shown(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has, in whatever case."""
+    taken = {column.lower() for column in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -26,19 +26,30 @@ def positions(digests: list[bytes], bits: int) -> np.ndarray:
 
 
 class Marks:
-    """Positions that a task has seen once, and more than once."""
+    """Positions that a task has seen once, and more than once. New ones wait until there are as
+    many as old ones, so that a position is merged a few times only, however long the task is."""
 
     def __init__(self) -> None:
         self.once = np.empty(0, np.int64)
         self.twice = np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
 
     def add(self, found: np.ndarray) -> None:
-        found, counts = np.unique(found, return_counts=True)
+        self.waiting.append(found)
+        self.n_waiting += len(found)
+        if self.n_waiting > max(SEGMENT // 4, len(self.once)):
+            self._merge()
+
+    def _merge(self) -> None:
+        found, counts = np.unique(np.concatenate([*self.waiting, self.once[:0]]), return_counts=True)
+        self.waiting, self.n_waiting = [], 0
         again = np.union1d(found[counts > 1], found[np.isin(found, self.once, assume_unique=True)])
         self.once = np.union1d(self.once, found)
         self.twice = np.union1d(self.twice, again)
 
     def pieces(self) -> pa.RecordBatch:
+        self._merge()
         segments = np.unique(self.once // SEGMENT)
         columns = {"segment": segments}
         for name, all_marks in (("once", self.once), ("twice", self.twice)):

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quire.llm.batches import known, mapped, shared, slices, texts_of, widened, with_columns
-from quire.llm.bloom import Marks, filter_bits, holds, positions, twice_filter
+from quire.llm.batches import known, mapped, shared, slices, texts_of, unused, widened, with_columns
+from quire.llm.bloom import Marks, filter_bits, holds, id_filter, id_positions, positions, twice_filter
 from quire.session import staged
 
 #: What is stripped from a line's ends: space, and tab to carriage return.
@@ -38,7 +38,8 @@ def drop_repeated_lines(
     Lines are equal when their keys are (see ``line_keys``; 128-bit digests stand for them), and
     keys below ``shortest`` code points never go. The first pass marks each document's keys in two
     Bloom filters, seen once and seen again; the second lists the keys that the latter holds, and
-    only these are shuffled, counted exactly and given to the document that keeps them.
+    only these are shuffled, counted exactly and given to the document that keeps them. Of the texts,
+    only those of documents that lose a line are shuffled; a filter of ids tells the others.
 
     Null and empty texts are one empty line, and come back empty. A null id is the smallest; rows
     that share an id are one document, and each loses its lines. Other columns pass through; any
@@ -65,15 +66,17 @@ def drop_repeated_lines(
         found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= documents).select("key", "keeper"), "line-repeats",
     )
-    gone = (
+    of, lost = unused("_of", docs.columns), unused("_gone", docs.columns)
+    gone = staged(
         found.join(confirmed, "key").where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias("_gone"))
+        .groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("key").alias(lost)), "lines-gone",
     )
-    joined = docs.join(gone, known(doc_id) == F.col("_of"), "left").drop("_of")
+    id_bits = filter_bits(128 * gone.count(), most=most_bits)
+    touched = shared(docs.sparkSession, id_filter(gone.select(of), id_bits))
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, before, dropped = [], [], []
-        for value, keys in zip(texts_of(batch, text), batch.column("_gone").to_pylist()):
+        for value, keys in zip(texts_of(batch, text), batch.column(lost).to_pylist()):
             lines = value.split("\n")
             if keys:
                 keys = set(keys)
@@ -86,10 +89,19 @@ def drop_repeated_lines(
         done = with_columns(batch, {
             text: pa.array(kept, pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()),
         })
-        return done.select([name for name in done.schema.names if name != "_gone"])
+        return done.select([name for name in done.schema.names if name not in (of, lost)])
+
+    def may_lose(batch: pa.RecordBatch) -> np.ndarray:
+        return holds(touched.value, id_positions(batch.column(of).to_numpy(), id_bits))
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(~may_lose(batch)))
+        return drop(with_columns(batch, {lost: pa.nulls(batch.num_rows, pa.list_(pa.binary()))}))
 
     schema = widened(docs.schema, **{text: T.StringType(), "n_lines": T.LongType(), "n_dropped": T.LongType()})
-    return mapped(joined, drop, schema)
+    known_docs = docs.withColumn(of, known(doc_id))
+    cut = mapped(known_docs, lambda batch: batch.filter(pa.array(may_lose(batch))), known_docs.schema).join(gone, of, "left")
+    return mapped(known_docs, whole, schema).unionAll(mapped(cut, drop, schema))
 
 
 def _marks(shortest: int, bits: int):
