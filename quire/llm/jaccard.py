@@ -13,12 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.llm.batches import known, mapped, shared, shown, slices
-from quire.llm.bloom import holds, id_filter, id_positions
+from quire.llm.bloom import Marks, filter_bits, holds, id_filter, id_positions, twice_filter
 from quire.llm.components import components
 from quire.session import staged
 
 #: Counters of the frequency sketch, a bound on what is broadcast (four bytes each), and those of
-#: one segment of it.
+#: one segment of it. Their order is all that is broadcast, so no count is too large.
 COUNTERS, SEGMENT = 1 << 20, 1 << 16
 
 #: 64-bit words of a set's parity bits.
@@ -66,8 +66,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How many documents have shingles of each of ``COUNTERS`` hash classes, over all documents.
-    Tasks count, segments of counters are added where they are dealt to."""
+    """The rank of each of ``COUNTERS`` hash classes by how many documents have shingles of it, over
+    all documents. Tasks count, segments of counters are added where they are dealt to."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(COUNTERS, np.int64)
         for batch in slices(batches):
@@ -96,7 +96,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     totals = np.zeros(COUNTERS, np.int64)
     for row in parts.collect():
         totals[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return np.minimum(totals, 2**24 - 1).astype(np.uint32)
+    return np.unique(totals, return_inverse=True)[1].astype(np.uint32)
 
 
 def prefixes(shingles: np.ndarray, size: int, loads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,8 @@ def similar_documents(
     rows = staged(mapped(own, _prefix_rows(words, share, loads), PREFIXES), "prefixes")
     classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     first = rows.join(classes, (rows["digest"] == classes["digest"]) & (rows["doc_id"] == classes["class"]), "left_semi")
-    tokens = first.select("doc_id", "n", F.posexplode("a").alias("i", "token"))
+    kept = staged(_repeated(first, _prefix_total(rows)), "repeated")
+    tokens = kept.select("doc_id", "n", F.inline("places"))
 
     centers = tokens.groupBy("token").agg(
         F.min(F.struct("i", "n", "doc_id")).alias("center"), F.count("*").alias("members")
@@ -166,14 +167,14 @@ def similar_documents(
 
     joined = components(links)
     tokens = (
-        first.select("doc_id", "n", "a").join(joined, F.col("doc_id") == F.col("id"), "left")
-        .select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.posexplode("a").alias("i", "token"))
+        kept.select("doc_id", "n", "places").join(joined, F.col("doc_id") == F.col("id"), "left")
+        .select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.inline("places"))
     )
     # What is left of a shingle without its center, where that is in several components.
     others = tokens.join(centers.select("token", "x"), "token").where(F.col("doc_id") != F.col("x")).drop("x")
     several = others.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     left = others.join(several.select("token"), "token", "left_semi")
-    left = staged(left.join(first.select("doc_id", "parity"), "doc_id"), "left")
+    left = staged(left.join(kept.select("doc_id", "parity"), "doc_id"), "left")
     one = left.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "root", "parity")])
     rest = one.join(left, "token").where(
         (F.col("doc_id_x") < F.col("doc_id")) & (F.col("root_x") != F.col("root"))
@@ -208,7 +209,8 @@ def similar_pairs(
     classes = staged(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     first = rows.join(classes, (rows["digest"] == classes["digest"]) & (rows["doc_id"] == classes["class"]), "left_semi")
     first = staged(first.dropDuplicates(["digest"]), "first")
-    tokens = first.select("doc_id", "n", "parity", F.posexplode("a").alias("i", "token"))
+    kept = staged(_repeated(first, _prefix_total(rows)), "repeated")
+    tokens = kept.select("doc_id", "n", "parity", F.inline("places"))
     one = tokens.select("token", *[F.col(name).alias(f"{name}_x") for name in ("doc_id", "n", "i", "parity")])
     pairs = one.join(tokens, "token").where(
         (F.col("doc_id_x") < F.col("doc_id")) & _possible(F.col("n"), F.col("i"), F.col("n_x"), F.col("i_x"), share)
@@ -242,6 +244,40 @@ def _prefix_rows(words: int, share: tuple[int, int], loads):
     return run
 
 
+def _prefix_total(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.size("a"))).first()[0] or 0
+
+
+def _repeated(first: DataFrame, total: int) -> DataFrame:
+    """``doc_id``, ``n``, ``parity`` and ``places`` (``i``, ``token``) of the documents' prefix shingles
+    that others may have as well. Most shingles of a prefix are in no other one: two Bloom filters,
+    seen once and seen again, keep those from being shuffled. A full filter keeps more, loses none."""
+    bits = filter_bits(64 * total)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks()
+        for batch in slices(batches):
+            marks.add(id_positions(batch.column("a").flatten().to_numpy(), bits).ravel())
+        yield marks.pieces()
+
+    twice = twice_filter(first.select("a").mapInArrow(marked, "segment long, once binary, twice binary"), bits)
+    again = shared(first.sparkSession, twice)
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles = batch.column("a")
+        flat = shingles.flatten().to_numpy()
+        cuts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(shingles), 0).to_numpy()))
+        at = np.arange(len(flat)) - np.repeat(cuts[:-1], np.diff(cuts))
+        stay = holds(again.value, id_positions(flat, bits))
+        pairs = pa.StructArray.from_arrays([pa.array(at[stay].astype(np.int32)), pa.array(flat[stay])], names=["i", "token"])
+        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(stay))[cuts].astype(np.int32)), pairs)
+        kept = [batch.column("doc_id"), batch.column("n"), batch.column("parity"), found]
+        return pa.RecordBatch.from_arrays(kept, names=["doc_id", "n", "parity", "places"])
+
+    schema = "doc_id long, n long, parity array<long>, places array<struct<i int, token long>>"
+    return mapped(first.select("doc_id", "n", "parity", "a"), places, schema)
+
+
 def _possible(n: Column, i: Column, nx: Column, ix: Column, share: tuple[int, int]) -> Column:
     """Whether two sets can be similar if the shingle at places ``i`` and ``ix`` is the first that
     they share. Similar sets pass at the first they share, whatever comes before."""

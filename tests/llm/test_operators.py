@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import (
-    bpe, chat, components, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, quality, secret_scan,
+    bloom, bpe, chat, components, exact_dedup, fingerprints, jaccard, language, line_dedup, packing, quality, secret_scan,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -102,10 +102,44 @@ def test_line_dedup_like_brute_force(spark):
     assert got == brute_lines(rows) and sum(r[3] for r in got) > 20
     tiny = line_dedup.drop_repeated_lines(df, most_bits=1 << 20)
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in tiny.collect()) == got
+    clash = df.withColumn("_of", F.lit(77)).withColumn("_GONE", F.col("doc_id"))
+    same = line_dedup.drop_repeated_lines(clash).collect()
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in same) == got
+    assert all((r["_of"], r["_GONE"]) == (77, r.doc_id) for r in same)
     assert line_dedup.drop_repeated_lines(odd_table(spark)).count() == len(ODD_TEXTS) + 2
     assert line_dedup.drop_repeated_lines(empty_table(spark)).collect() == []
 
 
+def test_marks_are_the_same_however_they_come():
+    rng = np.random.default_rng(3)
+    found = rng.integers(0, 5000, 6000)
+    values, counts = np.unique(found, return_counts=True)
+    for parts in (1, 7, 600):
+        marks = bloom.Marks()
+        for part in np.array_split(found, parts):
+            marks.add(part)
+            if parts == 7:
+                marks._merge()
+        piece = marks.pieces()
+        assert np.array_equal(marks.once, values) and np.array_equal(marks.twice, values[counts > 1])
+        assert np.array_equal(np.frombuffer(piece.column("once")[0].as_py(), "<u4"), values)
+    assert bloom.Marks().pieces().num_rows == 0
+
+
+def test_prefix_filter_keeps_all_repeated_shingles(spark):
+    rng = random.Random(8)
+    places = [[rng.randrange(-2**63, 2**63) if rng.random() < 0.5 else rng.randrange(50) for _ in range(rng.randint(0, 40))] for _ in range(80)]
+    places = [list(dict.fromkeys(own)) for own in places]
+    rows = [(at, len(own), [0], own) for at, own in enumerate(places)]
+    first = spark.createDataFrame(rows, "doc_id long, n long, parity array<long>, a array<long>")
+    held = Counter(token for own in places for token in own)
+    for total in (sum(map(len, places)), 0):
+        got = {r.doc_id: {(p.i, p.token) for p in r.places} for r in jaccard._repeated(first, total).collect()}
+        for at, own in enumerate(places):
+            assert {(i, token) for i, token in enumerate(own) if held[token] > 1} <= got[at] <= set(enumerate(own))
+    assert sum(map(len, got.values())) < sum(map(len, places))
+
+
 def test_fingerprints_guarantee_and_neighbours(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(300)]
