@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -56,6 +57,14 @@ def widened(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in old.items()])
 
 
+def release() -> None:
+    """Gives back memory that a task no longer uses; its worker goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def mapped(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str,
     rows: int = ROWS,
@@ -64,7 +73,7 @@ def mapped(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):
             yield function(batch)
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.batches import release
+
 #: Bits of a segment; positions go to segments, and a segment is put together in one task.
 SEGMENT = 1 << 20
 
@@ -78,6 +80,8 @@ def twice_filter(pieces: DataFrame, bits: int) -> bytes:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([segment]), pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"],
             )
+        del held
+        release()
 
     segments = max(1, bits // SEGMENT)
     dealt = pieces.repartition(min(segments, 256), "segment")

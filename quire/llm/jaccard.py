@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.batches import known, mapped, shared, shown, slices
+from quire.llm.batches import known, mapped, release, shared, shown, slices
 from quire.llm.bloom import Marks, filter_bits, holds, id_filter, id_positions, twice_filter
 from quire.llm.components import components
 from quire.session import staged
@@ -80,6 +80,7 @@ def frequencies(docs: DataFrame, words: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([start // SEGMENT]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["segment", "counts"],
                 )
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -252,13 +253,15 @@ def _repeated(first: DataFrame, total: int) -> DataFrame:
     """``doc_id``, ``n``, ``parity`` and ``places`` (``i``, ``token``) of the documents' prefix shingles
     that others may have as well. Most shingles of a prefix are in no other one: two Bloom filters,
     seen once and seen again, keep those from being shuffled. A full filter keeps more, loses none."""
-    bits = filter_bits(64 * total)
+    bits = filter_bits(32 * total)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks()
         for batch in slices(batches):
             marks.add(id_positions(batch.column("a").flatten().to_numpy(), bits).ravel())
         yield marks.pieces()
+        del marks
+        release()
 
     twice = twice_filter(first.select("a").mapInArrow(marked, "segment long, once binary, twice binary"), bits)
     again = shared(first.sparkSession, twice)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quire.llm.batches import known, mapped, shared, slices, texts_of, unused, widened, with_columns
+from quire.llm.batches import known, mapped, release, shared, slices, texts_of, unused, widened, with_columns
 from quire.llm.bloom import Marks, filter_bits, holds, id_filter, id_positions, positions, twice_filter
 from quire.session import staged
 
@@ -60,6 +60,7 @@ def drop_repeated_lines(
                     ids += [doc] * len(own)
                     keys += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+        release()
 
     found = staged(keyed.mapInArrow(suspects, "doc_id long, key binary"), "line-suspects")
     confirmed = staged(
@@ -116,5 +117,7 @@ def _marks(shortest: int, bits: int):
             if found:
                 marks.add(np.concatenate(found))
         yield marks.pieces()
+        del marks
+        release()
 
     return run
