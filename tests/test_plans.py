@@ -1,9 +1,13 @@
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import quire
 from quire.acceptance import inputs as I
 from quire.operators import layout, outline, retrieval, rules, sampling
 from quire.sources import pages
@@ -87,3 +91,14 @@ def test_every_oracle_belongs_to_a_query():
 def test_query_equals_its_sql(spark, name):
     verdict = compare(spark, SMALL, entry.queries()[name], entry.oracle_sql()[name])
     assert verdict.startswith("equal"), verdict
+
+
+def test_exported_names_are_found_when_asked_for():
+    assert set(quire._HOMES) <= set(dir(quire))
+    assert all(getattr(quire, name) is not None for name in quire._HOMES)
+    assert not hasattr(quire, "no_such_name")
+    loaded = subprocess.run(
+        [sys.executable, "-c", "import sys, quire.session; print('pandas' in sys.modules, 'pyspark.ml' in sys.modules)"],
+        capture_output=True, text=True, check=True, cwd=Path(quire.__file__).parents[1],
+    )
+    assert loaded.stdout.split() == ["False", "False"]
