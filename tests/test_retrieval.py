@@ -198,3 +198,41 @@ def test_own_scorer(spark):
     scored = R.rerank(candidates, queries, found, lambda query, text: F.length(text))
     blended = R.blend(scored).first()
     assert blended.final_score == 0.8 * blended.relevance + 0.2 * blended.score
+
+
+def by_term(df):
+    """The shuffles of a plan that deal rows by term."""
+    return re.findall(r"Exchange hashpartitioning\([^)]*\bterm#[^)]*\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_scores_do_not_hang_on_which_terms_are_common(spark, rows, monkeypatch):
+    found, requests, _, _ = corpus(spark)
+    queries = R.build_queries(requests)
+    whole = rows(R.tfidf_scores(queries, found, Q.manifest(requests), F.col("content")).withColumn("score", F.round("score", 9)))
+    for sample, most in ((2, 3), (20, 1), (10**6, 10**6)):
+        monkeypatch.setattr(R, "SAMPLE", sample)
+        monkeypatch.setattr(R, "HEAD", most)
+        scored = R.tfidf_scores(queries, found, Q.manifest(requests), F.col("content"))
+        assert rows(scored.withColumn("score", F.round("score", 9))) == whole
+
+
+def test_repeated_and_missing_rows(spark, rows):
+    """A section or a listing that is there twice counts twice; missing texts have no terms."""
+    sections = [("d", 1, "T", 1, "red fox"), ("d", 1, "T", 1, "red hen"), ("d", 2, "T", 1, None), (None, 3, "T", 1, "red fox")]
+    found = spark.createDataFrame(sections, "document string, section_no int, section_title string, page_number int, content string")
+    queries = spark.createDataFrame([("r", "red fox"), ("n", None)], "request_id string, query string")
+    listed = spark.createDataFrame([("r", "d"), ("r", "d"), ("n", "d"), ("r", "none"), (None, "d")], "request_id string, document string")
+    got = {(r.request_id, r.section_no): r.score for r in R.tfidf_scores(queries, found, listed, F.col("content")).collect()}
+    idf = {t: math.log(5 / (1 + df)) + 1 for t, df in {"red": 3, "fox": 2, "hen": 1, "red fox": 2, "red hen": 1}.items()}
+    asked = math.sqrt(sum(idf[t] ** 2 for t in ("red", "fox", "red fox")))
+    held = math.sqrt(sum(n * idf[t] ** 2 for t, n in (("red", 2), ("fox", 1), ("hen", 1), ("red fox", 1), ("red hen", 1))))
+    dot = 2 * (2 * idf["red"] ** 2 + idf["fox"] ** 2 + idf["red fox"] ** 2)
+    assert abs(got.pop(("r", 1)) - dot / asked / held) < 1e-9
+    assert got == {("r", 2): 0.0, ("n", 1): 0.0, ("n", 2): 0.0, (None, 1): 0.0, (None, 2): 0.0}
+
+
+def test_terms_meet_their_idf_only(spark):
+    """Neither weights nor products of the sections' terms are shuffled as rows."""
+    found, requests, _, _ = corpus(spark)
+    queries, listed = R.build_queries(requests), Q.manifest(requests)
+    assert by_term(R.tfidf_scores(queries, found, listed, F.col("content"))) == []
