@@ -236,3 +236,6 @@ def test_terms_meet_their_idf_only(spark):
     found, requests, _, _ = corpus(spark)
     queries, listed = R.build_queries(requests), Q.manifest(requests)
     assert by_term(R.tfidf_scores(queries, found, listed, F.col("content"))) == []
+    pairs = found.select(*R.SECTION_KEY).join(listed, "document")
+    dealt = by_term(R.bm25(pairs, queries, found, F.col("content")))
+    assert dealt and not any("document" in keys for keys in dealt)
