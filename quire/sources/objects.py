@@ -148,38 +148,42 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Complete objects of every split, and its fragments."""
+    """Complete objects of every split, and its fragments. Rows of many small files go on together."""
+    held: list[tuple[str, int, int, str, int, bool]] = []
+
+    def out() -> pa.RecordBatch:
+        columns = [list(column) for column in zip(*held)]
+        held.clear()
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(columns, kinds)],
+            names=["file", "block", "kind", "text", "complete", "whole"],
+        )
+
     for (file, block, length, size), lines in _blocks(batches):
         alone = block == 0 and length >= size
-        splitter, count, held = Splitter(certain=block == 0), 0, []
-
-        def out(rows: list[tuple[int, str, int, bool]]) -> pa.RecordBatch:
-            kinds, texts, complete, whole = (list(column) for column in zip(*rows))
-            return pa.RecordBatch.from_arrays([
-                pa.array([file] * len(rows), pa.string()), pa.array([block] * len(rows), pa.int64()), pa.array(kinds, pa.int32()),
-                pa.array(texts, pa.string()), pa.array(complete, pa.int64()), pa.array(whole, pa.bool_()),
-            ], names=["file", "block", "kind", "text", "complete", "whole"])
-
+        splitter, count = Splitter(certain=block == 0), 0
         for line in lines:
             for text in splitter.feed(line):
+                if len(held) >= 256:
+                    yield out()
                 count += 1
-                held.append((COMPLETE, text, 0, False))
-                if len(held) == 256:
-                    yield out(held)
-                    held = []
+                held.append((file, block, COMPLETE, text, 0, False))
         if alone:
             last = list(splitter.end())
             count += len(last)
-            held += [(COMPLETE, text, 0, False) for text in last]
+            held += [(file, block, COMPLETE, text, 0, False) for text in last]
             if count == 1:  # the file's only one
-                held = [(COMPLETE, held[0][1], 0, True)]
+                held[-1] = (*held[-1][:-1], True)
         else:
             if splitter.head:
-                held.append((HEAD, "\n".join(splitter.head), 0, False))
+                held.append((file, block, HEAD, "\n".join(splitter.head), 0, False))
             if splitter.certain:
-                held.append((TAIL, "\n".join(splitter.rest()), count, False))
-        if held:
-            yield out(held)
+                held.append((file, block, TAIL, "\n".join(splitter.rest()), count, False))
+        if len(held) >= 256:
+            yield out()
+    if held:
+        yield out()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +200,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _never_cut(spark: SparkSession) -> int:
+    """Bytes of a file that Spark reads in one split whatever else there is to read."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    return min(size(spark.conf.get(name)) for name in names)
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``value`` and ``whole`` of every object below ``path``: the file's name, the object's
     text, and whether it is all that its file holds.
@@ -207,7 +218,8 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     told apart when the whole is found broken.) Files without any text have no rows.
 
     A split's lines are worked on in the task that reads them; only fragments at its ends are
-    shuffled, and a single object is held in memory.
+    shuffled, and a single object is held in memory. Files that may be cut are read twice, once for
+    their objects and once for fragments; all smaller ones once.
     """
     lines = spark.read.text(path).select(
         source_file().alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -216,8 +228,10 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     )
     # Files of one name in several folders are told apart by their paths.
     named = lines.select(F.concat_ws("\n", "path", "file").alias("file"), "block", "length", "size", "value")
-    cut = named.mapInArrow(_split, RECORDS)
-    done = cut.where(F.col("kind") == COMPLETE).select("file", F.col("text").alias("value"), "whole")
+    done = named.mapInArrow(_split, RECORDS).where(F.col("kind") == COMPLETE).select("file", F.col("text").alias("value"), "whole")
+    # Only files that are cut into splits have fragments; the others are not opened a second time.
+    some = lines.where(F.col("size") > _never_cut(spark)).where("block > 0 OR length < size")
+    cut = some.select(F.concat_ws("\n", "path", "file").alias("file"), "block", "length", "size", "value").mapInArrow(_split, RECORDS)
     ordered = Window.partitionBy("file").orderBy("block", "kind")
     fragments = cut.where(F.col("kind") != COMPLETE).withColumn("part", F.sum(F.when(F.col("kind") == TAIL, 1).otherwise(0)).over(ordered))
     parts = fragments.groupBy("file", "part").agg(

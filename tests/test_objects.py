@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,14 @@ def test_only_committed_attempts_count(tmp_path):
     again.abort([again.write(iter([("a", "new")]))])
     assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.json": "1", "b.json": "2", "c.json": "3"}
     assert OneFileEach.name() == "one_file_each"
+
+
+def test_small_files_are_opened_once(spark, tmp_path):
+    """The scan for fragments lists no file that Spark never cuts."""
+    for at in range(30):
+        (tmp_path / f"f{at}.json").write_text('{"a": %d}' % at)
+    found = objects.read_objects(spark, str(tmp_path))
+    assert sorted((r.file, r.value, r.whole) for r in found.collect()) == sorted((f"f{at}.json", '{"a": %d}' % at, True) for at in range(30))
+    plan = objects.read_objects(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan text" in line]
+    assert len(scans) == 2 and sum(bool(re.search(r"DataFilters: \[\(file_size#\d+L > ", scan)) for scan in scans) == 1
