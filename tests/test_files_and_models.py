@@ -1,5 +1,6 @@
 import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.operators import models
 from quire.plans import jobs
+from quire.schemas import NUMERIC_FEATURES
 from quire.sources import datasets, outline_files, records, requests
 
 
@@ -188,3 +190,39 @@ def test_outline_and_section_jobs(spark, trained):
         [("d", "T", [("H1", "Chapter heading ax", 1, None)])], "doc string, title string, outline array<struct<level:string,text:string,page:int,page_number:int>>")
     dataset = jobs.dataset_job(trees, truth)
     assert sorted(r.label for r in dataset.collect()) == ["Body", "H1"]
+
+
+def test_a_fit_reads_all_labelled_rows(spark, monkeypatch):
+    """More than 200,000 of them were once drawn from, and medians, fonts and terms with them."""
+    n = 200_400
+    df = spark.range(n).select(
+        "id", F.lit("Chapter one").alias("text"), F.concat(F.lit("f"), F.col("id") % 3).alias("font_name"),
+        F.when(F.col("id") % 2 == 0, "Body").otherwise("H1").alias("label"), (F.col("id") % 5 == 0).alias("is_test"),
+        *[(F.col("id") % 7 if c == "font_size" else F.lit(0)).alias(c) for c in NUMERIC_FEATURES],
+    )
+
+    class Seen(Exception):
+        pass
+
+    def settled(rows):
+        raise Seen(rows.count(), rows.filter("is_test").count())
+
+    monkeypatch.setattr(models, "settled", settled)
+    with pytest.raises(Seen) as seen:
+        models.fit_line_classifier(df, plan=models.TrainingPlan(terms=4, rounds=1))
+    assert seen.value.args == (n, n // 5)
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 3, 4, 5, 40, 9001, 9002):
+        made = [
+            [rng.choice([None, float("nan"), -0.5, 3.0]) if rng.random() < 0.3 else rng.expovariate(1) ** 3 - 1 for _ in range(n)],
+            [float(rng.randrange(3)) for _ in range(n)], [None] * n,
+        ]
+        names = list(NUMERIC_FEATURES)
+        df = spark.createDataFrame([tuple(row) for row in zip(*made)], ", ".join(f"`{c}` double" for c in names[:3]))
+        found = models._medians(df.withColumns({c: F.lit(0.0) for c in names[3:]}))
+        for c, values in zip(names, made):
+            known = [v for v in values if v is not None and v == v]
+            assert found[c] == (statistics.median(known) if known else 0.0), (n, c)
