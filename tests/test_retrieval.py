@@ -239,3 +239,57 @@ def test_terms_meet_their_idf_only(spark):
     pairs = found.select(*R.SECTION_KEY).join(listed, "document")
     dealt = by_term(R.bm25(pairs, queries, found, F.col("content")))
     assert dealt and not any("document" in keys for keys in dealt)
+
+
+def test_rare_terms_go_in_few_rows():
+    """Terms of a task are dealt as arrays, a row for a bucket; each was a row of its own."""
+    import pyarrow as pa
+
+    from quire.functions import counting as C
+
+    rng = random.Random(5)
+    texts = [[rng.choice(["ab", "cd", "ef", "straße", "x" * 40 + "y"]) if rng.random() < 0.6 else f"w{rng.randint(0, 300)}" for _ in range(rng.randint(0, 60))] for _ in range(90)]
+    texts[3] = None
+    head = sorted(["ab", "cd", "ab cd", "ef", "cd ab"])
+    asks = [at % 10 == 9 for at in range(90)]
+    made = pa.RecordBatch.from_pydict({
+        "request_id": [f"r{at}" if ask else None for at, ask in enumerate(asks)], "document": [None if ask else f"d{at}" for at, ask in enumerate(asks)],
+        "section_no": pa.array([None if ask else at for at, ask in enumerate(asks)], pa.int32()), "words": pa.array(texts, pa.list_(pa.string())),
+    })
+    dealt = [row for part in (made.slice(0, 50), made.slice(50)) for row in C.rare_terms(iter([part.slice(0, 20), part.slice(20)]), C.head_of(head), len(head), 4)]
+    assert sum(b.num_rows for b in dealt) <= 6 * 4
+    table, n, alone = pa.Table.from_batches(dealt), sum(not a for a in asks), 2.5
+    parts = [C.rare_weights(table.filter(pa.compute.equal(table["bucket"], bucket)), n, alone) for bucket in range(4)]
+    got = [row for part in parts for row in part.to_pylist()]
+    counts = [grams(" ".join(t or [])) for t in texts]
+    df = Counter(term for own, ask in zip(counts, asks) if not ask for term in own)
+    weight = {term: math.log((1 + n) / (1 + k)) + 1 for term, k in df.items()}
+    assert {head[r["place"]]: r["df"] for r in got if r["place"] is not None} == {t: df[t] for t in head if df[t]}
+    sections = Counter()
+    for r in got:
+        if r["document"] is not None:
+            sections[r["document"]] += r["square"]
+    for at, own in enumerate(counts):
+        if not asks[at]:
+            want = sum(tf * tf * (weight[t] ** 2 - alone ** 2) for t, tf in own.items() if t not in head and df[t] > 1)
+            assert abs(sections.get(f"d{at}", 0.0) - want) < 1e-9
+    wanted = {(r["request_id"], r["term"]): (round(r["pull"], 9), round(r["square"], 9)) for r in got if r["request_id"] is not None}
+    assert wanted == {
+        (f"r{at}", t): (round(tf * weight[t] ** 2, 9), round((tf * weight[t]) ** 2, 9))
+        for at, own in enumerate(counts) if asks[at] for t, tf in own.items() if t not in head and df[t]
+    }
+
+
+def test_words_meet_all_pairs_of_a_section_at_once():
+    """A section's words are counted once however many requests ask for it."""
+    import pyarrow as pa
+
+    from quire.functions import counting as C
+
+    asked = [[{"request_id": f"r{i}", "terms": ["ab", "zz"], "idfs": [1.5, 9.0]} for i in range(5)], [{"request_id": "s", "terms": None, "idfs": None}]]
+    batch = pa.RecordBatch.from_pydict({
+        "document": ["a", "b"], "section_no": [1, 2], "words": [["ab", "cd", "ab"], ["ab"]], "asked": asked, "_mean": [2.0, 2.0],
+    })
+    found = pa.Table.from_batches(C.bm25_gains(iter([batch]), ["request_id", "document", "section_no", "gain"], 1.2, 0.75)).to_pylist()
+    gain = 1.5 * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 2))
+    assert [(r["request_id"], r["document"], round(r["gain"], 9)) for r in found] == [*((f"r{i}", "a", round(gain, 9)) for i in range(5)), ("s", "b", 0.0)]
