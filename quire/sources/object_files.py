@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import sys
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import quote
 
 from pyarrow import fs
@@ -41,6 +43,25 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
+def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether it is a file, and size of what lies right in a folder; a local folder's come as they
+    are read."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            yield info.base_name, info.type == fs.FileType.File, info.size or 0
+        return
+    with os.scandir(folder) as found:
+        for each in found:
+            yield each.name, each.is_file(), each.stat().st_size
+
+
+def _names(system: fs.FileSystem, folder: str, most: int = 4096) -> Iterator[list[str]]:
+    """Names of a folder's files, so many at a time."""
+    found = (name for name, is_file, _ in entries(system, folder) if is_file)
+    while names := list(islice(found, most)):
+        yield names
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -87,18 +108,18 @@ class OneFileEachWriter(DataSourceWriter):
         return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Names are held a few thousand at a time, however many files there are."""
         system, target = opened(self.path)
         system.create_dir(target)
-        moves = {}
-        for message in messages:
-            if message is not None:
-                _, at = opened(message.folder)
-                moves |= {info.base_name: info.path for info in system.get_file_info(fs.FileSelector(at))}
         with ThreadPoolExecutor(16) as pool:
             if self.overwrite:
-                old = [info for info in system.get_file_info(fs.FileSelector(target)) if info.base_name.endswith(".json")]
-                list(pool.map(system.delete_file, [info.path for info in old if info.base_name not in moves]))
-            list(pool.map(lambda name: system.move(moves[name], f"{target}/{name}"), moves))
+                for names in _names(system, target):
+                    list(pool.map(lambda name: system.delete_file(f"{target}/{name}"), [name for name in names if name.endswith(".json")]))
+            for message in messages:
+                if message is not None:
+                    _, at = opened(message.folder)
+                    for names in _names(system, at):
+                        list(pool.map(lambda name: system.move(f"{at}/{name}", f"{target}/{name}"), names))
         self._clear(system)
 
     def abort(self, messages: list[Written | None]) -> None:

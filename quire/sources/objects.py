@@ -14,13 +14,16 @@ import json
 import re
 import sys
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quire.session import staged
 from quire.sources.json_text import source_file
+from quire.sources.object_files import entries, opened
 
 # The splitter travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +33,15 @@ _OTHER = re.compile(r"[^\[\]{},:\s]+")
 _LINE, _FOLLOWING = re.compile(r"\n\{"), re.compile(r"\}\s*\{")
 _BETWEEN = " \t\r\n,"
 
+#: Names that Spark's readers pass over, patterns in a path, files that are packed, and ends of lines.
+_HIDDEN = re.compile(r"^\.|^_(?!metadata|common_metadata|[^=]*=)|\._COPYING_$")
+_PATTERN = re.compile(r"[*?\[\]{}\\,]")
+_PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$"
+_ENDS = re.compile(r"\r\n|\n|\r")
+
+#: Small files that a task opens, and bytes it reads, at least, before there are more tasks than cores.
+OPENED, READ = 10_000, 64 << 20
+
 #: What an object within another comes after.
 INSIDE = "[,:"
 
@@ -207,6 +219,61 @@ def _never_cut(spark: SparkSession) -> int:
     return min(size(spark.conf.get(name)) for name in names)
 
 
+def _listed(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]] | None:
+    """A folder's files that are never cut, dealt to tasks as ``path``, and the others; None where ``path``
+    is no plain folder of files, for which Spark has rules of its own."""
+    try:
+        system, at = opened(path)
+        plain = not _PATTERN.search(path) and system.get_file_info(at).type == fs.FileType.Directory
+    except (OSError, ValueError):  # a file system that only Spark knows
+        plain = False
+    if not plain:
+        return None
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, folder = opened(path)
+            found = ((name, is_file, size) for name, is_file, size in entries(system, folder) if not _HIDDEN.search(name))
+            while part := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*part)], names=["name", "is_file", "size"])
+
+    files = staged(spark.range(0, 1, 1, 1).mapInArrow(names, "name string, is_file boolean, size long"), "listed")
+    whole = F.col("is_file") & (F.col("size") <= _never_cut(spark)) & ~F.col("name").rlike(_PACKED)
+    large = [(r.name, r.is_file) for r in files.filter(~whole).collect()]
+    if not all(is_file and not _PATTERN.search(name) for name, is_file in large):
+        return None
+    n, size = files.filter(whole).agg(F.count("*"), F.sum("size")).first()
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism), n // OPENED, (size or 0) // READ)
+    base = path.rstrip("/")
+    return files.filter(whole).select(F.concat(F.lit(f"{base}/"), "name").alias("path")).repartition(tasks), [f"{base}/{name}" for name, _ in large]
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of small files, each of which is read whole."""
+    def out() -> pa.RecordBatch:
+        columns = [list(column) for column in zip(*held)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(columns, (pa.string(), pa.string(), pa.bool_()))], names=["file", "value", "whole"]
+        )
+
+    held: list[tuple[str, str, bool]] = []
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, at = opened(path)
+            with system.open_input_stream(at, compression=None) as file:
+                text = file.read().removeprefix(b"\xef\xbb\xbf").decode(errors="replace")
+            splitter = Splitter(certain=True)
+            lines = _ENDS.split(text)
+            found = [each for line in (lines if lines[-1] else lines[:-1]) for each in splitter.feed(line)]
+            found += splitter.end()
+            held += [(path.rsplit("/", 1)[-1], each, len(found) == 1) for each in found]
+            if len(held) >= 256:
+                yield out()
+    if held:
+        yield out()
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``value`` and ``whole`` of every object below ``path``: the file's name, the object's
     text, and whether it is all that its file holds.
@@ -219,9 +286,13 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
 
     A split's lines are worked on in the task that reads them; only fragments at its ends are
     shuffled, and a single object is held in memory. Files that may be cut are read twice, once for
-    their objects and once for fragments; all smaller ones once.
+    their objects and once for fragments; all smaller ones once. A folder is listed at once, by a task:
+    the driver only knows files that may be cut.
     """
-    lines = spark.read.text(path).select(
+    files = _listed(spark, path)
+    small, large = (None, [path]) if files is None else files
+    text = spark.read.text(large) if large else spark.read.schema("value string").text(large)
+    lines = text.select(
         source_file().alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_block_length").alias("length"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_path").alias("path"), "value",
@@ -241,5 +312,5 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     whole = Window.partitionBy("file")
     single = (F.sum("complete").over(whole) == 0) & (F.sum(F.when(F.length("text") > 0, 1).otherwise(0)).over(whole) == 1)
     stitched = parts.withColumn("single", single).mapInArrow(_joined, "file string, value string, whole boolean")
-    both = done.unionByName(stitched)
-    return both.select(F.substring_index("file", "\n", -1).alias("file"), "value", "whole")
+    both = done.unionByName(stitched).select(F.substring_index("file", "\n", -1).alias("file"), "value", "whole")
+    return both if small is None else both.unionByName(small.mapInArrow(_opened, "file string, value string, whole boolean"))

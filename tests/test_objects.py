@@ -129,3 +129,23 @@ def test_small_files_are_opened_once(spark, tmp_path):
     plan = objects.read_objects(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan text" in line]
     assert len(scans) == 2 and sum(bool(re.search(r"DataFilters: \[\(file_size#\d+L > ", scan)) for scan in scans) == 1
+
+
+def test_small_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """Nor are names of all files held when a sink's files are moved."""
+    for at in range(40):
+        (tmp_path / f"f {at}%.json").write_bytes(b'\xef\xbb\xbf{"a":\r\n %d}\r' % at)
+    for name in ("_x.json", ".y.json", "empty.json"):
+        (tmp_path / name).write_text('{"no": 1}' if name != "empty.json" else "")
+    (tmp_path / "b=.json").write_text('{"b": 1} {"c": 2}')
+    found = objects.read_objects(spark, str(tmp_path))
+    assert sorted((r.file, json.loads(r.value)["a"], r.whole) for r in found.filter("file != 'b=.json'").collect()) == sorted((f"f {at}%.json", at, True) for at in range(40))
+    assert [(r.value, r.whole) for r in found.filter("file = 'b=.json'").orderBy("value").collect()] == [('{"b": 1}', False), ('{"c": 2}', False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan text" in line]
+    assert scans and all("InMemoryFileIndex(0 paths)" in scan for scan in scans)
+    (tmp_path / "folder").mkdir()  # where folders lie in it, Spark lists
+    assert objects.read_objects(spark, str(tmp_path)).count() == 42
+    import pickle
+    assert pickle.loads(__import__("pyspark").cloudpickle.dumps(object_files._names))  # goes with the job
+    assert [len(part) for part in object_files._names(object_files.fs.LocalFileSystem(), str(tmp_path), 30)] == [30, 14]
